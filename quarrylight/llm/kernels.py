@@ -158,12 +158,12 @@ def sliding(a: np.ndarray, w: int, op=np.minimum) -> np.ndarray:
     return op(a[: len(a) - (w - span)], a[w - span :]) if span < w else a
 
 
-def winnow(a: np.ndarray, w: int, owner: np.ndarray) -> np.ndarray:
-    """Positions that hold the minimum of some window of w items with one owner; ties all count."""
+def winnow(a: np.ndarray, w: int, owner: np.ndarray, k: int = 1) -> np.ndarray:
+    """Positions that hold the minimum of some window of w values, each of k items, all of one owner; ties all count."""
     if len(a) < w:
         return np.zeros(0, dtype=np.int64)
     low = sliding(a, w)
-    low = np.where(owner[: len(low)] == owner[w - 1 :], low, U64(0))
+    low = np.where(owner[: len(low)] == owner[w + k - 2 :], low, U64(0))
     padded = np.zeros(len(a) + w - 1, dtype=U64)
     padded[w - 1 : w - 1 + len(low)] = low
     return np.flatnonzero((sliding(padded, w, np.maximum) == a) & (a != 0))
