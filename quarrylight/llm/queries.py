@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe_codec, decontamination, line_dedup, minhash_dedup, quality_rules, token_counts, url_filters
+from quarrylight.llm import bpe_codec, decontamination, line_dedup, minhash_dedup, quality_rules, token_counts, url_filters, warc
 from quarrylight.llm.runtime import table
 
 
@@ -45,7 +45,12 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_pages(table(spark, sf_dir, "pages"), least_bytes=1000)
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc)}
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
@@ -77,6 +82,12 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS list FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN k.kept <> p.page_id AND p.payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.kept <> p.page_id AND p.payload_bytes >= 1000 THEN k.kept END AS refers_to
+FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest""",
     "op6_url_filters": f"""
 WITH rules(host, path, action) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 urls AS (
