@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe_codec, decontamination, line_dedup, minhash_dedup, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from quarrylight.llm import bpe_codec, decontamination, line_dedup, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 from quarrylight.llm.runtime import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.near_passages(table(spark, sf_dir, "documents"), least=50, percent=80)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=512)
 
@@ -54,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup)}
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
