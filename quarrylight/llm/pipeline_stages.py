@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe_codec, line_dedup, quality_rules
-from quarrylight.llm.runtime import col
+from quarrylight.llm import bpe_codec, decontamination, line_dedup, minhash_dedup, quality_rules
+from quarrylight.llm.runtime import col, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    from quarrylight.llm import minhash_dedup
-
     return minhash_dedup.drop_near_copies(docs, shingle=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without windows of the benchmark's words."""
-    from quarrylight.llm import decontamination
-    from quarrylight.llm.runtime import table
-
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.select(*map(col, docs.columns))
 
