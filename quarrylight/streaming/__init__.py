@@ -1,0 +1 @@
+"""Streams. Every index is a full rebuild; there is no streaming operator."""
