@@ -153,8 +153,11 @@ def parse_query(query: str, columns: tuple[str, ...]) -> Node:
 
 
 def indexed(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The rows with one array of words for each column, and doc_len over all of them."""
-    out = docs.withColumns({f"words_{c}": tokens(F.col(c)) for c in columns})
+    """The rows with one array of words for each column, and doc_len over all of them.
+
+    The arrays come out of a generator, which keeps the optimizer from splitting the text anew for each use of a word.
+    """
+    out = docs.select("*", F.inline(F.array(F.struct(*(tokens(F.col(c)).alias(f"words_{c}") for c in columns)))))
     return out.withColumn("doc_len", sum((F.size(f"words_{c}") for c in columns), F.lit(0)))
 
 

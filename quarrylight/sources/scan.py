@@ -11,11 +11,10 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight import schemas
-from quarrylight.functions import secrets, text
+from quarrylight.functions import running, secrets, text
 
 # What is never indexed, and the limits of a repository.
 IGNORED_DIRS = (".git", ".quarrylight", "node_modules", "__pycache__", ".venv", "venv")
@@ -125,6 +124,12 @@ def scan(spark: SparkSession, root: str, *, ignore_files: tuple[str, ...] = IGNO
     return judge(read, max_files=max_files, max_bytes=max_bytes)
 
 
+def over_limits(files: DataFrame, key: str, *, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The files with n and bytes, counted up to theirs in order of a key, and whether a limit is passed there."""
+    total = running.running_total(files, key, {"n": F.lit(1), "bytes": F.col("size_bytes")})
+    return total.withColumn("over", (F.col("n") > max_files) | (F.col("bytes") > max_bytes))
+
+
 def judge(read: DataFrame, *, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Scanned files and diagnostics of files with their contents (seq, path, absolute_path, is_link, ignored, content, size_bytes)."""
     read = read.withColumn("reason", skip_reason(read))
@@ -146,9 +151,7 @@ def judge(read: DataFrame, *, max_files: int = MAX_FILES, max_bytes: int = MAX_B
         F.when(text.name_extension(F.col("path")) == ".py", "pending").otherwise("not_applicable").alias("parse_status"),
         "seq",
     )
-    # Files are limited to a few thousand, so that the running sums of the whole repository fit one task.
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    over = good.select("path", F.sum("size_bytes").over(order).alias("bytes"), F.count(F.lit(1)).over(order).alias("n")).where((F.col("bytes") > max_bytes) | (F.col("n") > max_files))
+    over = over_limits(good.select("seq", "path", "size_bytes"), "seq", max_files=max_files, max_bytes=max_bytes).where("over")
     severity = F.when(F.col("reason").startswith("file_skipped"), "warning").otherwise("info")
     told = read.where("reason is not null").select(F.substring_index("reason", ": ", 1).alias("code"), severity.alias("severity"), F.col("path").alias("file_path"), F.substring(F.expr("substring(reason, locate(': ', reason) + 2)"), 1, 500).alias("message"))
     found = scanned.where("has_secrets").select(F.lit("file_secret_detected").alias("code"), F.lit("warning").alias("severity"), F.col("path").alias("file_path"), F.lit("Secret detected and redacted").alias("message"))
