@@ -122,10 +122,15 @@ class Words:
 
 def _ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial hash of data[start:end] for each pair, from one prefix sum."""
+    total, down = _sums(data)
+    return (total[end] - total[start]) * down[start]
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return (total[end] - total[start]) * down[start]
+    return total, down
 
 
 def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -145,8 +150,22 @@ def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    at = np.arange(n)
-    return mix(_ranges(data, at, at + k))
+    total, down = _sums(data)
+    out = total[k:] - total[:-k]
+    out *= down[:n]
+    return mix(out)
+
+
+def winnow_bytes(hashes: np.ndarray, k: int, w: int, offsets: np.ndarray) -> np.ndarray:
+    """Like winnow for hashes of k bytes, where texts begin at offsets; compares the upper half of hashes, which is faster."""
+    if len(hashes) < w:
+        return np.zeros(0, dtype=np.int64)
+    a = (hashes >> U64(32)).astype(np.uint32)
+    low = np.zeros(len(a) + 2 * (w - 1), dtype=np.uint32)
+    low[w - 1 : len(a)] = sliding(a, w)
+    for end in offsets[1:-1].tolist():  # windows that begin before the end of a text and reach beyond it
+        low[max(w - 1, end - (w + k - 2) + w - 1) : end + w - 1] = 0
+    return np.flatnonzero((sliding(low[: len(a) + w - 1], w, np.maximum) == a) & (a != 0))
 
 
 def sliding(a: np.ndarray, w: int, op=np.minimum) -> np.ndarray:

@@ -3,7 +3,7 @@
 Only suffixes at anchors are sorted: a string of `length` bytes keeps, wherever it occurs, the same anchor, the
 least hash of its GRAM-byte grams, so equal strings meet in the group of one anchor gram.
 In a group the enhanced suffix array of what follows the anchors is scanned with a stack, which yields
-the tree of common-prefix intervals; in each interval the sorted reversed left contexts tell how far
+the tree of common-prefix intervals; in each interval the order of reversed left contexts tells how far
 occurrences extend to the left alike (where they are diverse), so that each interval gives a maximal repeat with
 all its occurrences, not only neighbours.
 
@@ -21,6 +21,7 @@ of TILE bytes when hashed; other steps hold one text at a time.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[t
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     hashes = K.byte_grams(data, GRAM)
-    at = K.winnow(hashes, length - GRAM + 1, K.owners(offsets), GRAM)
+    at = K.winnow_bytes(hashes, GRAM, length - GRAM + 1, offsets)
     text = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(at - offsets[text], length - GRAM)
     right = np.minimum(offsets[text + 1] - at, length)
@@ -85,42 +86,66 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return lo
 
 
-def prefix_intervals(heights: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(common prefix, first, last) of the inner nodes of the common-prefix interval tree, children first.
+class _Occurrences:
+    """What is known of each occurrence while intervals of the tree are closed, children before parents.
 
-    heights[i] is the common prefix of sorted suffixes i and i + 1; the stack holds the open intervals.
+    An interval's occurrences are kept as ranks in the order of reversed left contexts. Joining two sets inserts the smaller into
+    the larger; an occurrence extends to the left like its neighbours there at most, so that only neighbours are compared.
     """
-    stack: list[tuple[int, int]] = []
-    for i, h in enumerate([*heights, -1]):
-        first = i
-        while stack and stack[-1][0] > h:
-            height, first = stack.pop()
-            yield height, first, i
-        if h >= 0 and (not stack or stack[-1][0] < h):
-            stack.append((h, first))
+
+    def __init__(self, lefts: list[bytes], length: int, low: int, high: int):
+        order = sorted(range(len(lefts)), key=lefts.__getitem__)
+        self.lefts, self.of = [lefts[i] for i in order], order
+        self.rank = [0] * len(order)
+        for r, i in enumerate(order):
+            self.rank[i] = r
+        self.length, self.low, self.high = length, low, high
+        self.reach = [-1] * len(order)
+        self.found: list[list[tuple[int, int]]] = [[] for _ in order]
+
+    def _alike(self, r: int, reach: int, least: int) -> None:
+        if reach > self.reach[r]:
+            self.reach[r] = reach
+            if reach >= least:
+                self.found[self.of[r]].append((least, reach))
+
+    def join(self, a: list[int], b: list[int], height: int) -> list[int]:
+        """Both sets in one, all of whose members have `height` bytes in common from the anchor on."""
+        if len(a) < len(b):
+            a, b = b, a
+        least, most = max(self.low, self.length - height), self.high - 1
+        for r in b:
+            at = bisect_left(a, r)
+            if least <= most:
+                for k in (at - 1, at):
+                    if 0 <= k < len(a) and (self.reach[r] < most or self.reach[a[k]] < most):
+                        reach = min(common_prefix(self.lefts[r], self.lefts[a[k]]), most)
+                        self._alike(r, reach, least)
+                        self._alike(a[k], reach, least)
+            a.insert(at, r)
+        return a
 
 
 def repeated_places(lefts: list[bytes], rights: list[bytes], length: int, low: int, high: int) -> list[list[tuple[int, int]]]:
     """For each occurrence the ranges [x, y] of window places, low <= place < high, at which another has the same window.
 
-    A window at place o takes o bytes before the anchor and length - o from it on. `lefts` are reversed.
+    A window at place o takes o bytes before the anchor and length - o from it on. `lefts` are reversed. The stack
+    holds the open common-prefix intervals of the sorted right contexts: (common prefix, occurrences so far).
     """
     order = sorted(range(len(rights)), key=rights.__getitem__)
-    heights = [common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
-    out: list[list[tuple[int, int]]] = [[] for _ in rights]
-    for height, first, last in prefix_intervals(heights):
-        least = max(low, length - height)
-        if least >= high:
-            continue
-        inside = sorted((order[i] for i in range(first, last + 1)), key=lefts.__getitem__)
-        before = 0
-        for k, i in enumerate(inside):
-            after = common_prefix(lefts[i], lefts[inside[k + 1]]) if k + 1 < len(inside) else 0
-            reach = min(max(before, after), high - 1)
-            if reach >= least:
-                out[i].append((least, reach))
-            before = after
-    return out
+    known = _Occurrences(lefts, length, low, high)
+    stack: list[tuple[int, list[int]]] = []
+    for i, this in enumerate(order):
+        height = common_prefix(rights[this], rights[order[i + 1]]) if i + 1 < len(order) else -1
+        now = [known.rank[this]]
+        while stack and stack[-1][0] > height:
+            closed, members = stack.pop()
+            now = known.join(members, now, closed)
+        if stack and stack[-1][0] == height:
+            stack[-1] = height, known.join(stack[-1][1], now, height)
+        elif height >= 0:
+            stack.append((height, now))
+    return known.found
 
 
 def _find(length: int):
@@ -140,7 +165,7 @@ def _fetch(batches):
     """The contexts asked for: reversed left part, and right part."""
     for batch in batches:
         for i in range(batch.num_rows):
-            data = (batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")
+            data = batch.column("data")[i].as_py()
             did, th = batch.column("did")[i].as_py(), batch.column("th")[i].as_py()
             out = []
             for ask in batch.column("asked")[i].as_py():
@@ -182,8 +207,8 @@ def _sorted_groups(length: int):
 def _removed(batches):
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
+        whole = batch.schema.names[-1] == "bytes_too"
+        for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             runs: list[list[int]] = []
             for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                 if runs and a <= runs[-1][1]:
@@ -191,15 +216,16 @@ def _removed(batches):
                 else:
                     runs.append([a, b])
             ends = [0, *(x for r in runs for x in r), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-            out.append((len(data), len(data) - len(kept), len(runs), kept))
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array([x[k] for x in out], pa.int64()) for k in range(3)), pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string()), pa.array([x[3] for x in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else data
+            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if whole else None))
+        kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * whole
+        yield pa.record_batch([batch.column("doc_id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * whole])
 
 
 def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> DataFrame:
     """did, th, a, b: byte ranges of texts that repeated strings cover; they overlap. `source` has did, th and text."""
     find = source.mapInArrow(_find(length), "did bigint, th bigint, packed bigint, gram bigint, context bigint")
-    twice = find.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    twice = cut(find.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     found = cut(find.join(twice, "gram"))
 
     classes = cut(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "packed")).alias("one")))
@@ -210,7 +236,7 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     asked = classes.join(several, "gram").select("gram", "one.*", "classes")
     per_text = asked.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "packed")).alias("asked"))
-    contexts = source.select("did", "th", "text").join(per_text, ["did", "th"]).mapInArrow(_fetch, _CONTEXT_SQL)
+    contexts = source.select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
     sized = contexts.join(several, "gram").select("gram", "did", "th", "packed", "left", "right", "classes", F.lit(0).cast("long").alias("core"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"))
     sized = cut(sized)
     spans = spans.unionByName(_solved(sized.where(F.col("classes") <= most), length))
@@ -262,6 +288,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST, id_c
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept_sha256, with kept_bytes if asked for."""
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(id_col), F.lit(_LAST)).alias("did"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("th"), col(text_col).alias("text"))
     spans = repeated_spans(source, length, most).groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    fields = [source.schema["doc_id"], *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_bytes", T.BinaryType())]
-    out = source.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_removed, T.StructType(fields))
-    return out if bytes_too else out.drop("kept_bytes")
+    fields = [source.schema["doc_id"], *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept_bytes", T.BinaryType())] * bytes_too]
+    data = F.coalesce("text", F.lit("")).cast("binary").alias("data")
+    return source.join(spans, ["did", "th"], "left").select("doc_id", data, "spans", *[F.lit(True).alias("bytes_too")] * bytes_too).mapInArrow(_removed, T.StructType(fields))
