@@ -139,14 +139,16 @@ def judge(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None =
     the verdicts, which is cheaper than writing the texts.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"]
-    docs = docs.select(*(col(c) for c in docs.columns if c == text_col or c.lower() not in {*new, *FEATURES} and (carry is None or c in carry)))
-    kept = [c for c in docs.columns if carry is None or c in carry]
+    kept = [c for c in docs.columns if (carry is None or c in carry) and (c == text_col or c.lower() not in new)]
+    aside = dict(zip(kept, fresh(docs, *kept), strict=True))  # names that features may take
+    docs = docs.select(*(col(c).alias(aside[c]) for c in kept), *[col(text_col).alias(fresh(docs, "body")[0])])
+    body = docs.columns[-1]
     by_rule = rules()
     votes = dict(zip(by_rule, fresh(docs, *(f"vote_{k}" for k in by_rule)), strict=True))
-    with_votes = features(docs, text_col).withColumns({votes[k]: e for k, e in by_rule.items()})
+    with_votes = features(docs, body).withColumns({votes[k]: e for k, e in by_rule.items()})
     if text_col not in kept:
-        with_votes = cut(with_votes.drop(col(text_col)))
+        with_votes = cut(with_votes.drop(body))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     p = posterior(list(votes.values()), estimate(with_votes.where(~failed).select(*votes.values()), list(votes.values())))
     out = with_votes.withColumns({"base_failed": failed, "p_good": p})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).select(*map(col, kept), *new)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).select(*(col(aside[c]).alias(c) for c in kept), *new)

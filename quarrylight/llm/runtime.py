@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as a URI.
 
     A cluster names it in `spark.checkpoint.dir`. Only where that is unset, as in
     local tests, does a temporary folder stand in (driver and executors are one
@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_CONF, found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_shared_path(spark: SparkSession, what: str) -> str:
