@@ -23,6 +23,16 @@ def text_hits(chunks: DataFrame, query: str, limit: int, *, relevance_fix: bool
     return _hits(found, F.col("id"), F.substring(F.coalesce("content", F.lit("")), 1, SHOWN), text_score=score, source="text")
 
 
+def symbol_hits(symbols: DataFrame, query: str, limit: int) -> DataFrame:
+    """Symbols by full text over name and qualified name, with rank; other queries look for a part of the name."""
+    return fulltext.search(symbols, ("name", "qualified_name"), query, limit, fallback="name")
+
+
+def indexed_hits(chunks: DataFrame, query: str, limit: int) -> DataFrame:
+    """Chunks by full text alone, with rank: queries outside the language find nothing."""
+    return fulltext.search(chunks, CHUNK_COLUMNS, query, limit, fallback=None)
+
+
 def nearest(vectors_table: DataFrame, query: list[float], k: int, *, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """The k rows of greatest cosine similarity, with score between 0 and 1; ties in order of the key."""
     literal = F.array(*(F.lit(float(x)) for x in query))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, secrets, text, vectors
-from quarrylight.operators import chunk, embed, fulltext, graph, lookup, parse, search, validate
+from quarrylight.operators import chunk, embed, extensions, fulltext, graph, lookup, parse, search, validate
 from quarrylight.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,6 +568,33 @@ def validate_chunks(spark, sf_dir):
     return rows.unionByName(validate.repeated(d.select(F.sha2("text", 256).alias("h")), "h", "duplicate_text"))
 
 
+# Extensions.
+
+
+@query("SELECT source AS folder, count(*) AS n_files FROM documents GROUP BY source")
+def folder_counts(spark, sf_dir):
+    return extensions.folders(doc_files(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES}, d AS (SELECT s AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT t, 1, 0 FROM e) SELECT node_id, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, count(*) AS degree FROM d GROUP BY node_id ORDER BY degree DESC, node_id LIMIT 25")
+def most_connected(spark, sf_dir):
+    return extensions.most_connected(graph.distinct_edges(raw_edges(spark, sf_dir)), 25)
+
+
+@query(f"WITH {_EDGES} SELECT t AS node_id, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM e WHERE relation = 'calls' GROUP BY t")
+def risk_levels(spark, sf_dir):
+    callers = graph.distinct_edges(raw_edges(spark, sf_dir)).where("relation = 'calls'").groupBy(F.col("target_node_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    return callers.select("node_id", extensions.risk_level(F.col("n")).alias("risk"))
+
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"SELECT doc_id, CASE WHEN contains({_LOW}, 'of the') THEN 1.0 WHEN contains({_LOW}, 'of') AND contains({_LOW}, 'the') THEN 0.7 WHEN contains({_LOW}, 'of') OR contains({_LOW}, 'the') THEN 0.4 ELSE 0.0 END::DOUBLE AS score FROM documents")
+def keyword_scores(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", extensions.keyword_score(F.col("text"), "of the").alias("score"))
+
+
 # Python sources made of the documents: parsing has no SQL.
 
 
