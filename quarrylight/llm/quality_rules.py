@@ -57,7 +57,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"),
         F.char_length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.size(F.filter(words, lambda w: w.endswith("!!"))).cast("long").alias("n_bangs"),
-        F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("[.!?:;\"”»)]$"))).cast("long").alias("n_ends"),
+        F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("[.!?:;\"”»)]\\z"))).cast("long").alias("n_ends"),
     )
 
 

@@ -63,7 +63,44 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_mi
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
+#: Votes of op5's rules, in their order.
+_VOTES = """CASE WHEN 10 * n_symbols > n THEN -1 ELSE 0 END, CASE WHEN 5 * n_repeat_words > n THEN -1 ELSE 0 END, CASE WHEN 3 * n_dup_lines > nl THEN -1 ELSE 0 END,
+  CASE WHEN n >= 20 AND 4 * n_distinct < n THEN -1 ELSE 0 END, CASE WHEN 10 * n_capitals > 4 * c THEN -1 ELSE 0 END, CASE WHEN 10 * n_bangs > n THEN -1 ELSE 0 END,
+  CASE WHEN c < 2 * n OR c > 12 * n THEN -1 WHEN c >= 3 * n AND 10 * c <= 75 * n THEN 1 ELSE 0 END, CASE WHEN 10 * n_ends < 3 * nl THEN -1 WHEN 10 * n_ends >= 8 * nl THEN 1 ELSE 0 END"""
+_P_GOOD = """1 / (1 + exp(-(ln(em.s / (1 - em.s)) + list_sum(list_transform(range(1, 9), lambda k: CASE {v}[k] WHEN 1 THEN ln(em.gp[k] / em.bp[k]) WHEN -1 THEN ln(em.gn[k] / em.bn[k])
+  ELSE ln((1 - em.gp[k] - em.gn[k]) / (1 - em.bp[k] - em.bn[k])) END)))))"""
+
+
+def _em_rate(name: str, vote: int, of: str) -> str:
+    start, prior = quality_rules.START[name], quality_rules.PRIOR
+    return f"list_transform(range(1, 9), lambda k: (list_sum(list_transform(q, lambda x: CASE WHEN x.v[k] = {vote} THEN x.n * {of} ELSE 0.0::DOUBLE END)) + {start}::DOUBLE * {prior}) / (list_sum(list_transform(q, lambda x: x.n * {of})) + {prior}))"
+
+
 ORACLE_SQL = {
+    "op5_quality_rules": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+places AS (SELECT win.doc_id, i, lead(i) OVER (PARTITION BY win.doc_id ORDER BY i) AS nx FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.g = twice.g),
+again AS (SELECT doc_id, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n_repeat_words FROM places GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+    len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_bangs, len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '[.!?:;"”»)]\\z'))) AS n_ends,
+    greatest(len(ws), 1) AS n, greatest(length(array_to_string(ws, '')), 1) AS c, greatest(len(ls), 1) AS nl
+  FROM w LEFT JOIN again a ON a.doc_id = w.doc_id),
+v AS (SELECT *, [{_VOTES}] AS v, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+pats AS (SELECT list(struct_pack(v := v, n := m) ORDER BY v) AS ps FROM (SELECT v, CAST(count(*) AS DOUBLE) AS m FROM v WHERE NOT base_failed GROUP BY v)),
+em AS (
+  SELECT 0 AS r, {", ".join(f"[{', '.join([f'{quality_rules.START[k]}::DOUBLE'] * 8)}] AS {k}" for k in ("gp", "gn", "bp", "bn"))}, {quality_rules.START["s"]}::DOUBLE AS s
+  UNION ALL
+  SELECT r + 1, {_em_rate("gp", 1, "x.p")}, {_em_rate("gn", -1, "x.p")}, {_em_rate("bp", 1, "(1 - x.p)")}, {_em_rate("bn", -1, "(1 - x.p)")},
+    (list_sum(list_transform(q, lambda x: x.n * x.p)) + {quality_rules.START["s"]}::DOUBLE * {quality_rules.PRIOR}) / (list_sum(list_transform(q, lambda x: x.n)) + {quality_rules.PRIOR})
+  FROM (SELECT r, list_transform(ps, lambda x: struct_pack(v := x.v, n := x.n, p := {_P_GOOD.format(v="x.v")})) AS q FROM em, pats WHERE r < {quality_rules.ROUNDS}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_P_GOOD.format(v="v.v")} >= 0.5 AS kept
+FROM v, em WHERE em.r = {quality_rules.ROUNDS}""",
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
