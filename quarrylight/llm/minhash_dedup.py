@@ -6,12 +6,11 @@ class; only classes go on. Classes that agree on a band share a bucket. In each
 the one whose own buckets are largest (the middle of a group of near copies), and every
 other is verified against it on full sets: as many pairs as members. What then still
 lies in several components of a bucket is compared in blocks: the members outside the bucket's largest
-component as queries against the whole bucket, by their signatures, then on full sets. No pair
-of members of one component is made, and no pair of different components of a bucket is left out.
+component as queries against the whole bucket, on full sets. Only links leave these tasks; no pair of
+different components of a bucket is left out.
 
 Signatures err: with 64 coordinates, links exactly at the threshold meet in no bucket with probability
-under 1e-5 (bands of 4 rows at 0.85 or more, else of 3), and fall below the block comparison's bound, six
-standard deviations under the threshold, with probability under 1e-7. Every reported link is exact.
+under 1e-5 (bands of 4 rows at 0.85 or more, else of 3). Every reported link is exact.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a text with
 fewer words than a shingle has all its words as one; repeated rows are one class; rows without an id join
@@ -21,8 +20,6 @@ columns besides the id and the text are not read by near_copies; an empty table
 
 from __future__ import annotations
 
-from math import sqrt
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +31,8 @@ from quarrylight.llm.components import components
 from quarrylight.llm.runtime import col, cut, fresh
 
 COORDINATES = 64
-#: Members of a bucket in one block of the comparison by signatures.
-BLOCK = 256
+#: Shingles in one block of a bucket's comparison, about.
+BLOCK = 1 << 16
 _LAST = (1 << 63) - 1
 
 
@@ -91,7 +88,7 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _marks(shingle: int, rows: int):
-    """Of each row its id, number of shingles, class (two sums of hashes over its set), signature and bands."""
+    """Of each row its id, number of shingles, class (two sums of hashes over its set) and bands."""
 
     def run(batches):
         for batch in K.slices(batches, "text"):
@@ -106,10 +103,9 @@ def _marks(shingle: int, rows: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(sums[0], pa.int64()),
                     pa.array(sums[1], pa.int64()),
-                    pa.array([x.tobytes() for x in sig], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), flat),
                 ],
-                ["doc_id", "did", "th", "n_shingles", "ca", "cb", "signature", "bands"],
+                ["doc_id", "did", "th", "n_shingles", "ca", "cb", "bands"],
             )
 
     return run
@@ -126,26 +122,55 @@ def _sets(shingle: int):
     return run
 
 
-def _compare(least: int):
-    """Of each pair of blocks the pairs of members of different components that agree on `least` coordinates."""
+def _compare(percent: int):
+    """Of each pair of blocks the links between members of different components, from full sets."""
+
+    def block(rows: pa.StructArray):
+        ca, cb, la, lb, items = rows.flatten()
+        ends = items.offsets.to_numpy()
+        ids = np.stack([x.to_numpy() for x in (ca, cb, la, lb)], axis=1)
+        return ids, np.diff(ends), items.values.to_numpy()[ends[0] : ends[-1]]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = row["queries"], row["members"]
-                a = np.frombuffer(b"".join(x["signature"] for x in left), dtype=np.uint32).reshape(len(left), COORDINATES)
-                b = np.frombuffer(b"".join(x["signature"] for x in right), dtype=np.uint32).reshape(len(right), COORDINATES)
-                out = []
-                for i, x in enumerate(left):
-                    for j in np.flatnonzero((a[i] == b).sum(axis=1) >= least).tolist():
-                        if (x["la"], x["lb"]) != (right[j]["la"], right[j]["lb"]):
-                            p, q = sorted(((x["ca"], x["cb"]), (right[j]["ca"], right[j]["cb"])))
-                            out.append({"a": {"ca": p[0], "cb": p[1]}, "b": {"ca": q[0], "cb": q[1]}})
-                yield pa.RecordBatch.from_pylist(out, schema=_PAIR)
+            out = []
+            for row in range(batch.num_rows):
+                a, a_sizes, a_items = block(batch.column("queries")[row].values)
+                b, b_sizes, b_items = block(batch.column("members")[row].values)
+                common = intersections(a_items, a_sizes, b_items, b_sizes)
+                union = a_sizes[:, None] + b_sizes[None, :] - common
+                apart = (a[:, None, 2] != b[None, :, 2]) | (a[:, None, 3] != b[None, :, 3])
+                for i, j in zip(*np.nonzero(apart & (100 * common >= percent * union)), strict=True):
+                    p, q = sorted(((int(a[i, 0]), int(a[i, 1])), (int(b[j, 0]), int(b[j, 1]))))
+                    out.append({"a": {"ca": p[0], "cb": p[1]}, "b": {"ca": q[0], "cb": q[1]}})
+            yield pa.RecordBatch.from_pylist(out, schema=_PAIR)
 
     return run
 
 
+def intersections(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another, by products of 0/1 matrices over what both have."""
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(a_sizes), len(b_sizes)), dtype=np.int64)
+    if not len(shared):
+        return out
+    places = []
+    for items, sizes in ((a, a_sizes), (b, b_sizes)):
+        at = np.minimum(np.searchsorted(shared, items), len(shared) - 1)
+        known = shared[at] == items
+        places.append((np.repeat(np.arange(len(sizes)), sizes)[known], at[known], len(sizes)))
+    for first in range(0, len(shared), columns):
+        width = min(columns, len(shared) - first)
+        parts = []
+        for row, at, n in places:
+            inside = (at >= first) & (at < first + width)
+            part = np.zeros((n, width), dtype=np.float32)
+            part[row[inside], at[inside] - first] = 1
+            parts.append(part)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
 _NODE = pa.struct([("ca", pa.int64()), ("cb", pa.int64())])
 _PAIR = pa.schema([("a", _NODE), ("b", _NODE)])
 _PAIR_SQL = "a struct<ca: bigint, cb: bigint>, b struct<ca: bigint, cb: bigint>"
@@ -160,16 +185,16 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     rows = 4 if percent >= 85 else 3
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(id_col), F.lit(_LAST)).alias("did"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("th"), col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType
-    fields = [T.StructField("doc_id", kind), *(T.StructField(k, T.LongType()) for k in ("did", "th", "n_shingles", "ca", "cb")), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("doc_id", kind), *(T.StructField(k, T.LongType()) for k in ("did", "th", "n_shingles", "ca", "cb")), T.StructField("bands", T.ArrayType(T.LongType()))]
     marks = cut(source.mapInArrow(_marks(shingle, rows), T.StructType(fields))).withColumn("c", F.when(F.col("ca").isNotNull(), F.struct("ca", "cb")))
 
-    classes = marks.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("did", "th")).alias("at"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = marks.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("did", "th")).alias("at"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     member = classes.select("c", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = cut(member.join(shared, "key"))
 
     # Sets of the classes that share a bucket, from one row of each.
-    met = classes.join(member.select("c").distinct(), "c", "left_semi").select("c", "at.did", "at.th", "n", "signature")
+    met = classes.join(member.select("c").distinct(), "c", "left_semi").select("c", "at.did", "at.th", "n")
     texts = source.select("did", "th", "text").join(met.select("did", "th", F.col("c.ca").alias("ca"), F.col("c.cb").alias("cb")), ["did", "th"])
     sets = texts.select("ca", "cb", "text").mapInArrow(_sets(shingle), "ca bigint, cb bigint, items array<bigint>")
     sets = cut(sets.groupBy(F.struct("ca", "cb").alias("c")).agg(F.first("items").alias("items")))
@@ -183,17 +208,14 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     labels = components(links)
 
     # Members outside their bucket's largest component against the whole bucket, in blocks.
-    labelled = member.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    per = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and all > 2")
-    rest = labelled.drop("size").join(mixed.select("key", F.col("most.label").alias("main"), "all"), "key").join(met.select("c", "signature"), "c")
-    blocks = rest.select("key", "main", F.expr(f"cast(pmod(xxhash64(c), ceil(all / {BLOCK})) as int)").alias("block"), "label", F.struct(F.col("c.ca").alias("ca"), F.col("c.cb").alias("cb"), F.col("label.ca").alias("la"), F.col("label.cb").alias("lb"), "signature").alias("x"))
+    labelled = member.drop("size").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).join(met.select("c", "n"), "c")
+    per = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("items"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("members", "label")).alias("most"), F.sum("members").alias("all"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and all > 2")
+    rest = labelled.join(mixed.select("key", F.col("most.label").alias("main"), F.col("items").alias("in_bucket")), "key").join(sets, "c")
+    blocks = rest.select("key", "main", F.expr(f"cast(pmod(xxhash64(c), ceil(in_bucket / {BLOCK})) as int)").alias("block"), "label", F.struct(F.col("c.ca").alias("ca"), F.col("c.cb").alias("cb"), F.col("label.ca").alias("la"), F.col("label.cb").alias("lb"), "items").alias("x"))
     queries = blocks.where("label <> main").groupBy("key", "block").agg(F.collect_list("x").alias("queries")).drop("block")
     members = blocks.groupBy("key", "block").agg(F.collect_list("x").alias("members")).drop("block")
-    j = percent / 100
-    least = int(COORDINATES * j - 6 * sqrt(COORDINATES * j * (1 - j)))
-    second = queries.join(members, "key").select("queries", "members").mapInArrow(_compare(least), _PAIR_SQL).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_verified(second, sets, percent))
+    more = cut(queries.join(members, "key").select("queries", "members").mapInArrow(_compare(percent), _PAIR_SQL).distinct())
     if more.take(1):
         labels = components(links.unionByName(more))
 
