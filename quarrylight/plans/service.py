@@ -16,6 +16,14 @@ from quarrylight.sources import config as configs
 
 MAX_LIMIT = 500
 
+# What an impact result warns of.
+MISSING = {
+    "import_relationships": "No import relationships found (imports may not be stored as graph edges for this node type).",
+    "route_relationships": "No route relationships found (node is not a route handler or no routes reference it).",
+    "related_tests": "No directly related tests found (test relationships are inferred by naming convention only).",
+}
+NO_FILE, UNKNOWN = "No containing file relationship found.", "Symbol not found in the active index."
+
 
 class QueryValidationError(ValueError):
     """An argument that a query doesn't take."""
@@ -125,7 +133,7 @@ class QueryService:
         node = self._node(nodes, symbols, semantic_key)
         lists = ("direct_callers", "direct_callees", "import_relationships", "route_relationships", "related_tests")
         if node is None:
-            return {"target_semantic_key": semantic_key, "target_kind": "unknown", "target_qualified_name": semantic_key, "target_source_path": "", "analysis_type": "first_order", "containing_file": None, "containing_class": None, **{k: [] for k in lists}, "warnings": ["Symbol not found in the active index."]}
+            return {"target_semantic_key": semantic_key, "target_kind": "unknown", "target_qualified_name": semantic_key, "target_source_path": "", "analysis_type": "first_order", "containing_file": None, "containing_class": None, **{k: [] for k in lists}, "warnings": [UNKNOWN]}
         rows = lookup.impact(edges, nodes, node["node_id"], limit, tests_direction=tests_direction).orderBy("category", "related_node_identity", "edge_id").collect()  # at most `limit` rows in each of seven categories
         found: dict[str, list] = {k: [] for k, *_ in lookup.IMPACT}
         for r in rows:
@@ -137,8 +145,7 @@ class QueryService:
             found["related_tests"] = []
         path = (node["source_file"] or "").replace("\\", "/")
         file = found["containing_file"][0]["source_path"] if found["containing_file"] else path or None
-        missing = {"import_relationships": "No import relationships found (imports may not be stored as graph edges for this node type).", "route_relationships": "No route relationships found (node is not a route handler or no routes reference it).", "related_tests": "No directly related tests found (test relationships are inferred by naming convention only)."}
-        warnings = ["No containing file relationship found."] * (file is None) + [text for k, text in missing.items() if not found[k]]
+        warnings = [NO_FILE] * (file is None) + [text for k, text in MISSING.items() if not found[k]]
         return {
             "target_semantic_key": node["id"],
             "target_kind": node["node_type"],
