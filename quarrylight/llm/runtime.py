@@ -23,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     local tests, does a temporary folder stand in (driver and executors are one
     process there).
     """
-    found = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    found, known = spark.conf.get(CHECKPOINT_CONF, None), context._jsc.sc().getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
-        spark.conf.set(CHECKPOINT_CONF, found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="quarrylight-")
+    if not known.isDefined():
+        context.setCheckpointDir(found)
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
