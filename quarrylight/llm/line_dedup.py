@@ -5,8 +5,8 @@ documents counted per hash, and the lines of keys over the threshold dropped, ex
 the document of smallest id that holds the key. What is dropped comes back to each document as
 a bitmap over its lines, so that texts are shuffled once and reassembled by position.
 
-A key that many documents share costs one partially aggregated row for each task that reads it;
-the join that follows is an inner join that adaptive execution splits by skew.
+A key that many documents share costs one partially aggregated row for each task that reads it. Shared keys are
+written to the shared folder first; the join with them is an inner join that adaptive execution splits by skew.
 
 Defined results: a null or empty text is one empty line; rows without an id count together as
 one document after all others; rows with equal ids count as one document, each keeping
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.runtime import col, fresh
+from quarrylight.llm.runtime import col, cut, fresh
 
 #: White space at the ends of lines that keys leave out (fixed values: space, \t to \r).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -53,7 +53,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2, id_c
     else:
         counted = hashed.groupBy("h1", "h2", "did").agg(F.lit(1).alias("n")).groupBy("h1", "h2").agg(F.min("did").alias("keeper"), F.count(F.lit(1)).alias("n"))
         shared = counted.where(F.col("n") >= min_docs)
-    gone = hashed.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
+    shared = cut(shared.select("h1", "h2", "keeper"))  # a table of its own, so that the join's other side can be split by skew
+    gone = hashed.join(shared, ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
     bits = gone.groupBy("did", "th", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     dense = "aggregate(array_sort(collect_list(struct(word, bits))), cast(array() as array<bigint>), (a, x) -> concat(a, array_repeat(0L, x.word - size(a)), array(x.bits)))"
     marks = bits.groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.expr(dense).alias(words), F.sum(F.bit_count("bits")).cast("long").alias(dropped))
