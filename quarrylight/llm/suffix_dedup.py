@@ -233,7 +233,7 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
     whole = found.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).where(left + right >= length)
     spans = whole.select("did", "th", (place - left).alias("a"), (place + right).alias("b"))
 
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))  # joins with it can be split by skew
     asked = classes.join(several, "gram").select("gram", "one.*", "classes")
     per_text = asked.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "packed")).alias("asked"))
     contexts = source.select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
