@@ -15,6 +15,7 @@ under 1e-5 (bands of 4 rows at 0.85 or more, else of 3). Every reported link is
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a text with
 fewer words than a shingle has all its words as one; repeated rows are one class; rows without an id join
 classes like others, but a component's id is the smallest id that is not null, or null, and then all its rows are kept;
+rows are dropped by id and text, so that others without an id or under the same id stay;
 columns besides the id and the text are not read by near_copies; an empty table gives an empty result.
 """
 
@@ -176,8 +177,8 @@ _PAIR = pa.schema([("a", _NODE), ("b", _NODE)])
 _PAIR_SQL = "a struct<ca: bigint, cb: bigint>, b struct<ca: bigint, cb: bigint>"
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row.
+def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hash_too: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row, with th, the text's hash, if asked for.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets. A row is kept if its
     id is the smallest of its component.
@@ -223,9 +224,10 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     roots = labels.withColumnRenamed("node", "c").join(ids, "c")
     smallest = roots.groupBy("label").agg(F.min("least").alias("component"))
     of_class = ids.join(roots.select("c", "label"), "c", "left").join(smallest, "label", "left").select("c", F.coalesce("component", "least").alias("component"))
-    out = marks.select("doc_id", "n_shingles", "c").join(of_class, "c", "left")
+    th = ["th"] * hash_too
+    out = marks.select("doc_id", "n_shingles", "c", *th).join(of_class, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *th).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +240,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that near_copies keeps, all columns unchanged."""
-    (gone,) = fresh(docs, "gone")
-    dropped = near_copies(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).where("not kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias(gone)).distinct()
-    return docs.join(dropped, F.coalesce(docs[id_col], F.lit(_LAST)) == F.col(gone), "left_anti")
+    """The rows that near_copies keeps, all columns unchanged; rows are told apart by id and text."""
+    gone, copy = fresh(docs, "gone", "copy")
+    found = near_copies(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col, hash_too=True).where("not kept")
+    dropped = found.select(F.coalesce("doc_id", F.lit(_LAST)).alias(gone), F.col("th").alias(copy)).distinct()
+    same = (F.coalesce(docs[id_col], F.lit(_LAST)) == F.col(gone)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(copy))
+    return docs.join(dropped, same, "left_anti")

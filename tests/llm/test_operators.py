@@ -132,6 +132,14 @@ def test_near_copies(docs, empty, k, percent):
     assert kept.columns == docs.columns and kept.where("doc_id in (2, 3) or doc_id is null").count() == 0
 
 
+def test_only_near_copies_are_dropped(spark):
+    """Rows without an id and rows that share one go by themselves."""
+    alone, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "st")
+    texts = [(1, TALE), (None, TALE + " end"), (None, alone), (2, TALE + " tail"), (2, other), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(minhash_dedup.drop_near_copies(df)) == sorted([(1, TALE), (None, alone), (2, other), (None, None)], key=str)
+
+
 def test_near_copies_without_a_middle(spark):
     """A chain, and a crowd that shares buckets without links, next to linked ones."""
     base = [f"w{i}" for i in range(120)]
