@@ -311,6 +311,20 @@ def test_passages(spark, docs, empty):
     assert rows(substring_dedup.near_passages(empty)) == []
 
 
+@pytest.mark.parametrize("inserted", [0, 9, 15])
+def test_passages_with_inserted_words(inserted):
+    """Inserted shingles that leave 80 % of the whole, between others and with strays, whichever text leads."""
+    import numpy as np
+
+    n = 4 * inserted + 60
+    u = np.arange(30 + n + 30)
+    v = np.concatenate([1000 + np.arange(40), u[30 : 30 + n // 2], 2000 + np.arange(inserted), u[30 + n // 2 : 30 + n], 3000 + np.arange(500), u[:1]])
+    v[20] = u[-1]
+    for a, b in ((u, v), (v, u)):
+        found = substring_dedup.passages(a.astype(np.uint32), b.astype(np.uint32), 46, 80)
+        assert len(found) == 1 and found[0][1] - found[0][0] + 1 >= n and found[0][4] >= 0.8
+
+
 def test_compact_windows():
     import numpy as np
 
