@@ -311,6 +311,17 @@ def test_passages(spark, docs, empty):
     assert rows(substring_dedup.near_passages(empty)) == []
 
 
+def test_passages_do_not_depend_on_the_sample(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [(k, " ".join([*(f"a{k}x{i}" for i in range(20)), passage, *(f"b{k}x{i}" for i in range(20))])) for k in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = []
+    for share in (0.0, 0.1, 0.2):
+        monkeypatch.setattr(substring_dedup, "SAMPLE", share)
+        found.append(rows(substring_dedup.near_passages(df)))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("inserted", [0, 9, 15])
 def test_passages_with_inserted_words(inserted):
     """Inserted shingles that leave 80 % of the whole, between others and with strays, whichever text leads."""
