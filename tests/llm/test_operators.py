@@ -311,6 +311,33 @@ def test_passages(spark, docs, empty):
     assert rows(substring_dedup.near_passages(empty)) == []
 
 
+def test_passages_without_a_leader(spark):
+    """Near copies of a passage whose parts are stock phrases of other texts, which lead most of its values."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"p{i}" for i in range(70)]
+    texts = {}
+    for k in range(40):
+        own = [f"g{k}{w}" for w in base]
+        for part in range(0, 280, 7):
+            texts[1000 * k + 100 + part] = [*(f"q{k}x{part}x{i}" for i in range(60)), *own[part % 70 : part % 70 + 12], *(f"r{k}x{part}x{i}" for i in range(60))]
+        for n in range(3):
+            at = rng.randrange(70) if n else -1
+            texts[1000 * k + n] = [*(f"s{k}x{n}x{i}" for i in range(20)), *(f"z{k}x{n}" if i == at else w for i, w in enumerate(own)), *(f"t{k}x{n}x{i}" for i in range(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = substring_dedup.near_passages(df).collect()
+    sets = {i: {tuple(w[20:90][j : j + 5]) for j in range(66)} for i, w in texts.items() if i % 1000 < 3}
+    want = {(i, j) for i in sets for j in sets if i < j and i // 1000 == j // 1000 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    label = {i: i for i in texts}
+    for _ in range(4):
+        for r in got:
+            label[r.doc_id] = label[r.partner_id] = min(label[r.doc_id], label[r.partner_id])
+    assert all(i % 1000 < 3 for r in got for i in (r.doc_id, r.partner_id))
+    missed = [(i, j) for i, j in want if label[i] != label[j]]
+    assert len(want) >= 80 and len(missed) <= 0.02 * len(want)
+
+
 def test_passages_do_not_depend_on_the_sample(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(70))
     texts = [(k, " ".join([*(f"a{k}x{i}" for i in range(20)), passage, *(f"b{k}x{i}" for i in range(20))])) for k in range(400)]
