@@ -599,10 +599,11 @@ def keyword_scores(spark, sf_dir):
 
 
 def _sources(spark, sf_dir) -> DataFrame:
-    """A module for each document: names and calls from its words."""
-    word = F.regexp_replace(F.lower(F.split("text", "[^A-Za-z]+")[0]), "[^a-z]", "")
-    name = F.when(word == "", "empty").otherwise(word)
-    body = F.concat(F.lit("import os\n\n\nclass C"), name, F.lit(":\n    def run(self):\n        return f_"), name, F.lit("()\n\n\ndef f_"), name, F.lit("():\n    return os.getcwd()\n\n\n@app.get(\"/"), name, F.lit("\")\ndef handle_"), name, F.lit("():\n    return f_"), name, F.lit("()\n"))
+    """A module for each document: names and calls from all its distinct words."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != ""))
+    words = F.when(F.size(words) == 0, F.array(F.lit("empty"))).otherwise(words)
+    part = lambda name: F.concat(F.lit("class C"), name, F.lit(":\n    def run(self):\n        return f_"), name, F.lit("()\n\n\ndef f_"), name, F.lit("():\n    return os.getcwd()\n\n\n@app.get(\"/"), name, F.lit("\")\ndef handle_"), name, F.lit("():\n    return f_"), name, F.lit("()\n"))
+    body = F.concat(F.lit("import os\n\n\n"), F.array_join(F.transform(words, part), "\n\n"))
     return doc_files(spark, sf_dir).select(F.regexp_replace("path", "md$", "py").alias("path"), body.alias("text"), F.lit(False).alias("is_binary"), F.lit("pending").alias("parse_status"), F.lit("source").alias("file_type"))
 
 

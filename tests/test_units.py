@@ -289,3 +289,11 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_schemas():
     assert set(schemas.TABLES) >= {"files", "symbols", "chunks", "nodes", "edges", "embeddings"} and not schemas.FILES["path"].nullable
+
+
+def test_sources_hold_all_words(spark, tmp_path):
+    from quarrylight import queries
+
+    spark.createDataFrame([(1, "-- One two, three ONE", "en", "s", 21), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {r.name for r in queries.parse_python_symbols(spark, str(tmp_path)).where("symbol_type = 'class'").collect()}
+    assert names == {"Cone", "Ctwo", "Cthree", "Cempty"}
