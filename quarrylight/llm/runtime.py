@@ -48,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, as a Parquet table in the shared folder: columns are compressed, which suits large tables."""
+    path = new_shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of `df` has (without regard to case), one for each of `names`."""
     taken, out = {c.lower() for c in df.columns}, []

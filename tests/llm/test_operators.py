@@ -387,3 +387,73 @@ def test_compact_windows():
 def test_runtime(spark, docs):
     assert shared_dir(spark).startswith("file:///") and cut(docs.limit(1)).count() == 1
     assert fresh(docs, "did", "x") == ["___did", "__x"]
+
+
+def test_passages_recall(spark):
+    """Pairs of texts that share enough shingles and hold a similar passage (all pairs tried) are connected, but for 1 % at most."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(texts)
+    numbers: dict[tuple, int] = {}
+    series = []
+    for i in ids:
+        w = re.findall(SPACES, texts[i].translate(LOW))
+        series.append(np.array([numbers.setdefault(tuple(w[j : j + 5]), len(numbers)) for j in range(len(w) - 4)], dtype=np.uint32))
+    holders = collections.defaultdict(list)
+    for n, s in enumerate(series):
+        for x in set(s.tolist()):
+            holders[x].append(n)
+    common = collections.Counter((a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k])
+    want = [(ids[a], ids[b]) for (a, b), n in common.items() if n >= 37 and substring_dedup.passages(series[a], series[b], 46, 80)]
+    found = substring_dedup.near_passages(docs).select("doc_id", "partner_id").collect()
+    label = {i: i for i in ids}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in found:
+        a, b = sorted((top(r.doc_id), top(r.partner_id)))
+        label[b] = a
+    missed = [x for x in want if top(x[0]) != top(x[1])]
+    assert len(want) > 100 and len(missed) <= 0.01 * len(want), (len(want), missed[:5])
+
+
+@pytest.mark.parametrize("spread", [1, 7])
+def test_passages_in_crowds(spark, spread):
+    """Near copies of one passage in more texts than are linked with each other, stock lines in all of them and in clean ones."""
+    import random
+
+    rng = random.Random(9)
+    stock, texts = " ".join(f"stock{i}" for i in range(25)), {}
+    for g in range(3):
+        base = [f"p{g}x{i}" for i in range(120)]
+        for n in range(40):
+            w = list(base)
+            w[rng.randrange(120)] = f"z{g}x{n}"
+            texts[100 * g + n] = " ".join([*(f"s{g}x{n}x{i}" for i in range(30)), *w, stock, *(f"t{g}x{n}x{i}" for i in range(30))])
+    for n in range(200):
+        texts[1000 + n] = " ".join([*(f"c{n}x{i}" for i in range(80)), stock, *(f"d{n}x{i}" for i in range(80))])
+    texts[2000], texts[2001], texts[None] = texts[0], texts[1000], texts[100]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(spread)
+    label = {i: i for i in texts if i is not None}
+    got = substring_dedup.near_passages(df).collect()
+    for _ in range(6):
+        for r in got:
+            if r.doc_id is not None and r.partner_id is not None:
+                label[r.doc_id] = label[r.partner_id] = min(label[r.doc_id], label[r.partner_id])
+    assert all(label[100 * g + n] == 100 * g for g in range(3) for n in range(40)) and label[2000] == 0
+    assert label[2001] == 1000 and all(label[i] == i for i in texts if i is not None and 1000 <= i < 2000)
+    assert [(r.partner_id, r.first_word, r.end_word) for r in got if r.doc_id is None] == [(100, 0, 205)]
+
+
+def test_windows_with_long_sides():
+    """A side that is too long for its bits reaches to the text's ends."""
+    import numpy as np
+
+    l, r = substring_dedup.unpack(substring_dedup.pack(np.array([200000, 50]), np.array([0, 20]), np.array([600000, 70])))  # noqa: E741
+    assert l.tolist() == [0, 20] and r[0] >= 600000 and r[1] == 70
+    assert substring_dedup.unpack(int(substring_dedup.pack(np.array([9]), np.array([2]), np.array([30]))[0])) == (2, 30)
