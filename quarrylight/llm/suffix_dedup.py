@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm import kernels as K
+from quarrylight.llm.prune import key_bits, may_be
 from quarrylight.llm.runtime import col, cut
 
 GRAM, TILE = 100, 1 << 22
@@ -235,8 +236,8 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
 
     several = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))  # joins with it can be split by skew
     asked = classes.join(several, "gram").select("gram", "one.*", "classes")
-    per_text = asked.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "packed")).alias("asked"))
-    contexts = source.select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
+    per_text = cut(asked.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "packed")).alias("asked")))
+    contexts = _texts(source, key_bits(per_text, "th"), True).select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
     sized = contexts.join(several, "gram").select("gram", "did", "th", "packed", "left", "right", "classes", F.lit(0).cast("long").alias("core"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"))
     sized = cut(sized)
     spans = spans.unionByName(_solved(sized.where(F.col("classes") <= most), length))
@@ -248,6 +249,18 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
     return spans
 
 
+def _texts(source: DataFrame, bits, inside: bool) -> DataFrame:
+    """Rows whose text's hash may be in the bitmap, or those where it isn't: rows without a partner needn't be moved."""
+
+    def run(batches):
+        for batch in batches:
+            keep = may_be(bits.value, batch.column("th").to_numpy(zero_copy_only=False)) == inside
+            if keep.any():
+                yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return source.mapInArrow(run, source.schema)
+
+
 _CONTEXT_SQL = "gram bigint, did bigint, th bigint, packed bigint, left binary, right binary"
 
 
@@ -287,7 +300,10 @@ def _halved(big: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFram
 def remove_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", bytes_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes) and kept_sha256, with kept_bytes if asked for."""
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(id_col), F.lit(_LAST)).alias("did"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("th"), col(text_col).alias("text"))
-    spans = repeated_spans(source, length, most).groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = cut(repeated_spans(source, length, most).groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    bits = key_bits(spans, "th")
     fields = [source.schema["doc_id"], *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept_bytes", T.BinaryType())] * bytes_too]
+    hit, rest = (_texts(source, bits, x) for x in (True, False))
+    both = hit.join(spans, ["did", "th"], "left").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     data = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return source.join(spans, ["did", "th"], "left").select("doc_id", data, "spans", *[F.lit(True).alias("bytes_too")] * bytes_too).mapInArrow(_removed, T.StructType(fields))
+    return both.select("doc_id", data, "spans", *[F.lit(True).alias("bytes_too")] * bytes_too).mapInArrow(_removed, T.StructType(fields))
