@@ -205,22 +205,31 @@ def _sorted_groups(length: int):
     return run
 
 
-def _removed(batches):
-    for batch in batches:
-        out = []
-        whole = batch.schema.names[-1] == "bytes_too"
-        for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
-            ends = [0, *(x for r in runs for x in r), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else data
-            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if whole else None))
-        kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * whole
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * whole])
+def _removed(bits=None):
+    """Sizes and digests after removal; with a bitmap, of texts without spans that aren't in it."""
+
+    def run(batches):
+        for batch in K.slices(batches, "data"):
+            if bits is not None:
+                batch = batch.filter(pa.array(~may_be(bits.value, batch.column("th").to_numpy(zero_copy_only=False))))
+            out = []
+            whole = batch.schema.names[-1] == "bytes_too"
+            spans_of = batch.column("spans").to_pylist() if bits is None else [None] * batch.num_rows
+            for data, spans in zip(batch.column("data"), spans_of, strict=True):
+                data = data.as_py()
+                runs: list[list[int]] = []
+                for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(b, runs[-1][1])
+                    else:
+                        runs.append([a, b])
+                ends = [0, *(x for r in runs for x in r), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else data
+                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if whole else None))
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * whole
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes"] * whole])
+
+    return run
 
 
 def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> DataFrame:
@@ -237,7 +246,7 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
     several = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))  # joins with it can be split by skew
     asked = classes.join(several, "gram").select("gram", "one.*", "classes")
     per_text = cut(asked.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "packed")).alias("asked")))
-    contexts = _texts(source, key_bits(per_text, "th"), True).select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
+    contexts = _texts(source, key_bits(per_text, "th")).select("did", "th", "text").join(per_text, ["did", "th"]).select("did", "th", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "asked").mapInArrow(_fetch, _CONTEXT_SQL)
     sized = contexts.join(several, "gram").select("gram", "did", "th", "packed", "left", "right", "classes", F.lit(0).cast("long").alias("core"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"))
     sized = cut(sized)
     spans = spans.unionByName(_solved(sized.where(F.col("classes") <= most), length))
@@ -249,12 +258,12 @@ def repeated_spans(source: DataFrame, length: int = 400, most: int = MOST) -> Da
     return spans
 
 
-def _texts(source: DataFrame, bits, inside: bool) -> DataFrame:
-    """Rows whose text's hash may be in the bitmap, or those where it isn't: rows without a partner needn't be moved."""
+def _texts(source: DataFrame, bits) -> DataFrame:
+    """Rows whose text's hash may be in the bitmap: rows without a partner needn't be moved."""
 
     def run(batches):
-        for batch in batches:
-            keep = may_be(bits.value, batch.column("th").to_numpy(zero_copy_only=False)) == inside
+        for batch in K.slices(batches, "text"):
+            keep = may_be(bits.value, batch.column("th").to_numpy(zero_copy_only=False))
             if keep.any():
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
@@ -303,7 +312,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, most: int = MOST, id_c
     spans = cut(repeated_spans(source, length, most).groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     bits = key_bits(spans, "th")
     fields = [source.schema["doc_id"], *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept_bytes", T.BinaryType())] * bytes_too]
-    hit, rest = (_texts(source, bits, x) for x in (True, False))
-    both = hit.join(spans, ["did", "th"], "left").unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    data = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    return both.select("doc_id", data, "spans", *[F.lit(True).alias("bytes_too")] * bytes_too).mapInArrow(_removed, T.StructType(fields))
+    data, more = F.coalesce("text", F.lit("")).cast("binary").alias("data"), [F.lit(True).alias("bytes_too")] * bytes_too
+    hit = _texts(source, bits).join(spans, ["did", "th"], "left").select("doc_id", data, "spans", *more).mapInArrow(_removed(), T.StructType(fields))
+    return hit.unionByName(source.select("doc_id", "th", data, *more).mapInArrow(_removed(bits), T.StructType(fields)))
