@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle and checkpoint files of what is no longer referenced.
+
+    It does so only when the driver happens to collect its garbage; between the phases of a long job that would leave
+    all earlier shuffles on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of `df` has (without regard to case), one for each of `names`."""
     taken, out = {c.lower() for c in df.columns}, []
