@@ -12,6 +12,11 @@ Defined results: a null payload is empty; rows without an id are written without
 written as often as they occur; of rows with equal payloads that bear the largest id, all are responses;
 payloads shared only by rows without ids are all responses; other columns of pages are not read; an empty table gives
 an empty result.
+
+Archives of others are read by WARC 1.1: header names in any case, folded lines, any blanks around the colon. All types are
+returned. In blocks of type application/http the payload is what follows the HTTP header, else the whole block. Digests of known
+algorithms, hexadecimal or base 32, are checked, but for revisits, segments, and blocks with a transfer encoding; others
+aren't. What a record doesn't tell is null. A record whose first line is there and whose rest is cut off or damaged is an error.
 """
 
 from __future__ import annotations
@@ -63,9 +68,19 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, kind: str
 def parse_record(whole: bytes) -> dict:
     """Headers (lower-case names) and block of a decoded record."""
     head, _, rest = whole.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    return fields | {"block": rest[: int(fields["content-length"])]}
+    fields, name = {}, ""
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):  # goes on with the line before
+            if name:
+                fields[name] += f" {line.strip()}"
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    size = fields.get("content-length", "")
+    if not size.isdecimal() or int(size) > len(rest):
+        raise ValueError(f"record {fields.get('warc-record-id')} has {len(rest)} bytes of Content-Length {size!r}")
+    return fields | {"block": rest[: int(size)]}
 
 
 class _Source:
@@ -89,18 +104,33 @@ class _Source:
         self.buffer, self.base = self.buffer[at - self.base :], at
 
 
+def begins_record(data: bytes) -> bool:
+    """Whether a gzip member's first bytes, whatever its end is like, are a WARC record's."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 7) == b"WARC/1."
+    except zlib.error:
+        return False
+
+
 def decode_member(source: _Source, at: int) -> tuple[bytes, int] | None:
-    """The record whose gzip member starts at `at`, and where the member ends; None if no record starts there."""
+    """The record whose gzip member starts at `at`, and where the member ends; None if no record starts there.
+
+    A member that begins like a record and ends early or can't be decoded is an error.
+    """
     squeezed, out, known = zlib.decompressobj(31), [], False
     size, pos = 0, at
     while True:
         source.upto(pos + CHUNK // 16 if not known else pos + CHUNK)
         data = source.buffer[pos - source.base : pos - source.base + CHUNK]
         if not data:
+            if begins_record(source.buffer[at - source.base :]):
+                raise ValueError(f"the record at byte {at} is cut off")
             return None
         try:
             got = squeezed.decompress(data)
-        except zlib.error:
+        except zlib.error as e:
+            if begins_record(source.buffer[at - source.base :]):
+                raise ValueError(f"the record at byte {at} is damaged") from e
             return None
         pos += len(data)
         out.append(got)
@@ -207,16 +237,36 @@ def _reader(payloads: bool):
     return run
 
 
+#: Digest algorithms that are checked, and their sizes in bytes.
+_DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def digest_told(told: str) -> tuple[str, str] | None:
+    """Algorithm and lower-case hexadecimal value of a digest header in either notation; None if it has no known ones."""
+    algorithm, _, value = told.partition(":")
+    algorithm, value = algorithm.strip().lower().replace("-", ""), value.strip()
+    size = _DIGESTS.get(algorithm)
+    if size is None:
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return None
+    return (algorithm, raw.hex()) if len(raw) == size else None
+
+
 def _row(r: dict, payloads: bool) -> dict:
-    payload = r["block"].partition(b"\r\n\r\n")[2]
-    kind, told = r["warc-type"], r.get("warc-payload-digest", "").removeprefix("sha1:")
+    kind, told = r.get("warc-type"), digest_told(r.get("warc-payload-digest", ""))
+    number = lambda k: int(r[k]) if r.get(k, "").removeprefix("-").isdecimal() else None
     if kind == "revisit":
-        size, digest = int(r.get("payload-length", 0)), base64.b32decode(told).hex()
+        size, digest, payload = number("payload-length"), told[1] if told and told[0] == "sha1" else None, b""
     else:
+        http = r.get("content-type", "").lower().startswith("application/http")
+        head, _, payload = r["block"].partition(b"\r\n\r\n") if http else (b"", b"", r["block"])
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-        if told and base64.b32decode(told).hex() != digest:
-            raise ValueError(f"record {r['warc-record-id']} has another payload than its digest says")
-    number = lambda k: int(r[k]) if k in r else None
+        whole = "warc-segment-number" not in r and b"\r\ntransfer-encoding:" not in head.lower()
+        if told and whole and hashlib.new(told[0], payload).hexdigest() != told[1]:
+            raise ValueError(f"record {r.get('warc-record-id')} has another payload than its digest says")
     return {"page_id": number("page-id"), "url": r.get("warc-target-uri"), "record_type": kind, "refers_to": number("refers-to-page-id"), "payload_bytes": size, "payload_digest": digest, "payload": payload if payloads and kind != "revisit" else None}
 
 

@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import io
 
@@ -45,3 +47,38 @@ def test_damage_is_seen():
     with pytest.raises(ValueError, match="digest"):
         warc._row(record | {"block": record["block"] + b"!"}, True)
     assert warc.decode_member(warc._Source(io.BytesIO(b"\x1f\x8b\x08not gzip"), 0), 0) is None
+
+
+def test_records_cut_off_or_damaged_are_errors():
+    first, last = warc.record_bytes(1, "u", bytes(range(256)) * 40), warc.record_bytes(2, "u", hashlib.sha512(b"x").digest() * 400)
+    for whole in (first + last[:-40], first + last[:-8] + b"\0" * 8):
+        found = warc.records(io.BytesIO(whole), 0, len(whole))
+        assert next(found)["page-id"] == "1"
+        with pytest.raises(ValueError, match="cut off|damaged"):
+            next(found)
+    with pytest.raises(ValueError, match="Content-Length"):
+        warc.parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")
+
+
+def _foreign(head: str, block: bytes) -> dict:
+    whole = f"WARC/1.0\r\n{head}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    member = gzip.compress(whole)
+    (record,) = warc.records(io.BytesIO(member), 0, len(member))
+    return warc._row(record, True)
+
+
+def test_records_of_others():
+    block = b"software: x\r\n\r\nformat: y"
+    sha1, md5 = hashlib.sha1(block), hashlib.md5(block)
+    info = _foreign(f"WARC-Type: warcinfo\r\nWARC-Payload-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}", block)
+    assert (info["record_type"], info["payload"], info["payload_digest"], info["page_id"], info["url"]) == ("warcinfo", block, sha1.hexdigest(), None, None)
+    for told in (f"md5:{md5.hexdigest()}", f"MD5:{base64.b32encode(md5.digest()).decode()}", f"sha-1:{sha1.hexdigest().upper()}", "crc32:00", "sha1:???", ""):
+        assert _foreign(f"warc-type:resource\r\nWARC-Payload-Digest:{told}", block)["payload"] == block
+    with pytest.raises(ValueError, match="digest"):
+        _foreign(f"WARC-Type: resource\r\nWARC-Payload-Digest: md5:{'0' * 32}", block)
+    folded = _foreign("WARC-Type :response\r\nWARC-Target-URI: http://a/\r\n\t b\r\nPage-Id: x\r\nContent-Type: application/http", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    assert (folded["record_type"], folded["url"], folded["page_id"], folded["payload"]) == ("response", "http://a/ b", None, b"body")
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n"
+    assert _foreign(f"WARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: md5:{'0' * 32}", chunked)["payload"].startswith(b"1")
+    again = _foreign("WARC-Type: revisit", b"")
+    assert (again["payload_bytes"], again["payload_digest"], again["payload"]) == (None, None, None)
