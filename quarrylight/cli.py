@@ -1,6 +1,6 @@
 """The command line: python -m quarrylight.cli COMMAND ...
 
-init ROOT, index SOURCE, status ROOT, health ROOT, query TOOL ROOT [name=value ...], and serve, which answers lines of JSON
+init ROOT, index SOURCE [--root ROOT], status ROOT, health ROOT, query TOOL ROOT [name=value ...], and serve, which answers lines of JSON
 {"tool": ..., "arguments": {...}} on standard input with lines of JSON.
 """
 
@@ -10,12 +10,14 @@ import argparse
 import json
 import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from quarrylight.operators import embed
 from quarrylight.plans import health, index
 from quarrylight.plans.service import QueryService, RepositoryNotIndexedError, to_json
+from quarrylight.plans.store import Store
 from quarrylight.plans.tools import Tools
 from quarrylight.sources import config, inputs
 
@@ -51,6 +53,7 @@ def main(argv: list[str] | None = None, *, make_session: Callable[[], SparkSessi
     build = commands.add_parser("index")
     build.add_argument("source")
     build.add_argument("--ref")
+    build.add_argument("--root", help="the folder whose index this becomes; archives and GitHub sources need one")
     for name in ("status", "health"):
         commands.add_parser(name).add_argument("root")
     ask = commands.add_parser("query")
@@ -65,8 +68,11 @@ def main(argv: list[str] | None = None, *, make_session: Callable[[], SparkSessi
             return 0
         spark = make_session()
         if args.command == "index":
+            if args.root is None and inputs.classify(args.source) is not inputs.InputKind.LOCAL:
+                raise inputs.InputError("root_needed", "The workspace of this source is temporary: name a folder for its index with --root.")
             with inputs.prepare(args.source, ref=args.ref) as prepared:
-                out(json.dumps(index.build(spark, str(prepared.root)).counts))
+                store = None if args.root is None else Store(spark, Path(args.root).resolve() / config.FOLDER)
+                out(json.dumps(index.build(spark, str(prepared.root), store=store).counts))
         elif args.command == "status":
             out(to_json(QueryService(spark, args.root).status()))
         elif args.command == "health":

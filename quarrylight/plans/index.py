@@ -141,7 +141,7 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
     except StoreError as e:
         state.to("error")
         raise BuildError(e.code, str(e), "storing") from e
-    except BuildError:
+    except BaseException:  # a failing job or an interrupt ends the build like a refusal does
         state.to("error")
         raise
     finally:

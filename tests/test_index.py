@@ -1,10 +1,13 @@
 import json
 import os
+import subprocess
+import sys
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight import schemas
+from quarrylight import cli, schemas
 from quarrylight.operators import embed, lookup
 from quarrylight.plans import health, index
 from quarrylight.plans.service import QueryService, QueryValidationError, RepositoryNotIndexedError
@@ -188,3 +191,41 @@ def test_limits(spark, tmp_path):
 def test_impact_schema(spark):
     assert lookup.relations(["calls", "x"]) == ["calls"] and lookup.relations(["x"]) == list(schemas.RELATIONS)
     assert spark.range(1).select(schemas.in_domain("id", ("0",)) == F.lit(True)).first()[0]
+
+
+def test_a_killed_build_leaves_no_lock(spark, tmp_path):
+    store = Store(spark, tmp_path)
+    code = f"import fcntl, os; fcntl.flock(os.open({str(tmp_path / 'build.lock')!r}, os.O_CREAT | os.O_WRONLY), fcntl.LOCK_EX); print(1, flush=True); input()"
+    holder = subprocess.Popen([sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+    assert holder.stdout.readline()
+    with pytest.raises(StoreError, match="running"), store.locked():
+        pass
+    holder.kill()
+    holder.communicate()
+    with store.locked(), pytest.raises(StoreError, match="running"), store.locked():
+        pass
+    with store.locked():
+        pass
+
+
+def test_any_failure_ends_the_build(spark, tmp_path, monkeypatch):
+    root, made, real = make(tmp_path, TWINS), [], index.Build
+    monkeypatch.setattr(index, "Build", lambda *a: made.append(real(*a)) or made[-1])
+
+    def fails(*_, **__):
+        raise RuntimeError("a job failed")
+
+    monkeypatch.setattr(index.graph, "build", fails)
+    with pytest.raises(RuntimeError, match="a job failed"):
+        index.build(spark, root)
+    assert made[0].state.state == "error" and Store(spark, tmp_path / ".quarrylight").active() is None
+
+
+def test_archives_keep_their_index(spark, tmp_path, capsys):
+    archive, home, said = tmp_path / "tree.zip", tmp_path / "home", []
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("top/one.py", "def one():\n    pass\n")
+    run = lambda *a: cli.main([*a], make_session=lambda: spark, out=said.append)
+    assert run("index", str(archive)) == 1 and "root_needed" in capsys.readouterr().err
+    assert run("index", str(archive), "--root", str(home)) == 0 and json.loads(said[-1])["files"] == 1
+    assert run("query", "find_symbols", str(home), "query=one") == 0 and json.loads(said[-1])[0]["qualified_name"] == "one"
