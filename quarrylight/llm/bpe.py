@@ -169,6 +169,10 @@ class Bpe:
                 out.extend(map(self._packed.__getitem__, self.pieces(part)))
         return b"".join(out)
 
+    def encode_plain(self, text: str) -> bytes:
+        """Like encode_packed, with special tokens' strings as plain text."""
+        return b"".join(map(self._packed.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> list[int]:
         """The ids of the text."""
         packed = self.encode_packed(text)

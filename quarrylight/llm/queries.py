@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe_codec, byte_fold, decontamination, line_dedup, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
+from quarrylight.llm import bpe_codec, byte_fold, cross_tokens, decontamination, line_dedup, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 from quarrylight.llm.runtime import table
 
 
@@ -58,11 +58,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_fold.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup, op12_cross_tokens, op13_byte_bpe)}
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
