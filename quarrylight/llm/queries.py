@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe_codec, byte_fold, cross_tokens, decontamination, line_dedup, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
+from quarrylight.llm import bpe_codec, byte_fold, cross_tokens, decontamination, line_dedup, minhash_dedup, prefix_trie, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 from quarrylight.llm.runtime import table
 
 
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokens.align(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_fold.encode_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup, op12_cross_tokens, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_line_dedup, op5_quality_rules, op6_url_filters, op7_decontamination, op8_bpe_codec, op9_warc, op10_suffix_dedup, op11_prefix_trie, op12_cross_tokens, op13_byte_bpe)}
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
@@ -176,4 +180,33 @@ fits AS (
   FROM cut c JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path))
 SELECT c.page_id, coalesce(c.host, '') AS host, coalesce(c.path, '') AS path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND f.k = 1""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, n,
+    xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v // 2, 3988292384::BIGINT * (v % 2))))) % 4 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+own AS (
+  SELECT c.conv_id, t.k AS d, r, x FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.k - c.h + least(c.h, coalesce(b.n, 0)), r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h LEFT JOIN c b ON b.conv_id = c.base),
+p AS (
+  SELECT c.conv_id, coalesce(list(sha256(CAST(length(r) AS VARCHAR) || ':' || r || x) ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS path,
+    coalesce(list(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS words
+  FROM c LEFT JOIN own ON own.conv_id = c.conv_id GROUP BY c.conv_id),
+o AS (SELECT conv_id, len(path) AS size, d, array_to_string(path[1:d], '') AS key, array_to_string(path[1:d - 1], '') AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (
+  SELECT key, any_value(up) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, max(size) = d AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+  FROM o GROUP BY key, d),
+under AS (
+  SELECT a.key, count(*) FILTER (WHERE b.leaf) AS n_leaves, CAST(sum((b.n_convs - 1) * b.w) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE b.d = a.d + 1) AS n_children
+  FROM n a JOIN n b ON b.d >= a.d AND starts_with(b.key, a.key) GROUP BY a.key)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, under.n_children, under.n_leaves, under.saved_tokens, n.ends_sha256
+FROM n JOIN under ON under.key = n.key LEFT JOIN n u ON n.d > 0 AND u.key = n.up""",
 }
