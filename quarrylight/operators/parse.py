@@ -9,15 +9,19 @@ from __future__ import annotations
 import ast
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarrylight import schemas
 
 # Which decorators declare routes.
 ROUTE_OBJECTS, ROUTE_VERBS = ("app", "router"), ("get", "post", "put", "delete", "patch")
 
+#: Files whose trees are turned into one Arrow batch.
+ROWS = 64
+
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -115,16 +119,22 @@ def parse_text(path: str, source: str | None, is_binary: bool) -> dict:
     return row | {"status": "parsed", "symbols": symbols, "imports": imports_of(tree), "routes": routes}
 
 
-def _parse(frames):
-    columns = schemas.PARSED.names
-    for frame in frames:
-        rows = [parse_text(*x) for x in zip(frame["path"], frame["text"], frame["is_binary"], strict=True)]
-        yield pd.DataFrame(rows, columns=columns)
+def _parse(batches):
+    kind = to_arrow_schema(schemas.PARSED)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            rows = [parse_text(*x) for x in zip(*(c.to_pylist() for c in some.columns), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 def parse(scanned: DataFrame) -> DataFrame:
-    """schemas.PARSED for each scanned file that waits for it."""
-    return scanned.where("parse_status = 'pending'").select("path", "text", "is_binary").mapInPandas(_parse, schemas.PARSED)
+    """schemas.PARSED for each scanned file that waits for it.
+
+    Files are dealt out first: parsing costs far more than reading, and few large inputs would leave it to few tasks.
+    """
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scanned.where("parse_status = 'pending'").select("path", "text", "is_binary").repartition(parts).mapInArrow(_parse, schemas.PARSED)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
