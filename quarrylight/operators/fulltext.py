@@ -184,22 +184,30 @@ def _occurrences(phrase: Phrase, column: str) -> Column:
     return F.size(F.filter(starts, begins))
 
 
-def _matches(node: Node, tf: dict[Phrase, Column]) -> Column:
+def matches(node: Node, tf: dict[Phrase, Column]) -> Column:
+    """Whether a row matches, by how often each phrase occurs in it."""
     if node.phrase is not None:
         return tf[node.phrase] > 0
-    parts = [_matches(p, tf) for p in node.parts]
+    parts = [matches(p, tf) for p in node.parts]
     out = parts[0]
     for p in parts[1:]:
         out = out & p if node.kind == "and" else out | p if node.kind == "or" else out & ~p
     return out
 
 
-def _scored(node: Node) -> list[Phrase]:
+def scored(node: Node) -> list[Phrase]:
     """The phrases that count for the rank: all but those after NOT."""
     if node.phrase is not None:
         return [node.phrase]
     parts = node.parts[:1] if node.kind == "not" else node.parts
-    return [p for part in parts for p in _scored(part)]
+    return [p for part in parts for p in scored(part)]
+
+
+def weight(all_docs: Column, holders: Column, tf: Column, doc_len: Column, mean_len: Column) -> Column:
+    """What a phrase adds to the rank of a row in which it occurs tf times."""
+    idf = F.greatest(F.log((all_docs - holders + 0.5) / (holders + 0.5)), F.lit(LEAST_IDF))
+    t = tf.cast("double")
+    return idf * t * (K1 + 1) / (t + K1 * (1 - B + B * doc_len / mean_len))
 
 
 def match(docs: DataFrame, columns: tuple[str, ...], query: str) -> DataFrame:
@@ -214,15 +222,13 @@ def match(docs: DataFrame, columns: tuple[str, ...], query: str) -> DataFrame:
     frame = indexed(docs, columns).withColumns({f"tf_{i}": frequency(p, columns) for i, p in enumerate(phrases)})
     tf = {p: F.col(f"tf_{i}") for i, p in enumerate(phrases)}
     totals = frame.agg(F.count(F.lit(1)).alias("all_docs"), F.avg("doc_len").alias("mean_len"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(phrases))))
-    scored = frame.where(_matches(tree, tf)).crossJoin(F.broadcast(totals))
+    found = frame.where(matches(tree, tf)).crossJoin(F.broadcast(totals))
     rank = F.lit(0.0)
-    for p in _scored(tree):
+    for p in scored(tree):
         i = phrases.index(p)
         n = F.col(f"df_{i}")
-        idf = F.greatest(F.log((F.col("all_docs") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        t = F.col(f"tf_{i}").cast("double")
-        rank = rank - idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
-    return scored.withColumn("rank", rank).select(*docs.columns, "rank")
+        rank = rank - weight(F.col("all_docs"), n, F.col(f"tf_{i}"), F.col("doc_len"), F.col("mean_len"))
+    return found.withColumn("rank", rank).select(*docs.columns, "rank")
 
 
 def like_fallback(docs: DataFrame, column: str, query: str) -> DataFrame:

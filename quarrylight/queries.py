@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions import ids, secrets, text, vectors
-from quarrylight.operators import chunk, embed, extensions, fulltext, graph, lookup, parse, search, validate
+from quarrylight.functions import ids, secrets, shared, text, vectors
+from quarrylight.operators import chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, search, validate
 from quarrylight.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,7 +256,7 @@ def fts_sql(q: str, limit: int = 20) -> str:
     at = {p: i for i, p in enumerate(phrases)}
     counts = ", ".join(f"{_count_sql(p)} AS tf_{i}" for p, i in at.items())
     dfs = ", ".join(f"count(*) FILTER (WHERE tf_{i} > 0) AS df_{i}" for i in at.values())
-    rank = " + ".join(f"greatest(ln((n - df_{i} + 0.5) / (df_{i} + 0.5)), 0.000001) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * doc_len / mean_len))" for i in (at[p] for p in fulltext._scored(tree)))
+    rank = " + ".join(f"greatest(ln((n - df_{i} + 0.5) / (df_{i} + 0.5)), 0.000001) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * doc_len / mean_len))" for i in (at[p] for p in fulltext.scored(tree)))
     return f"""
 WITH w AS (SELECT doc_id, {_TOKENS.format("text")} AS w_text, {_TOKENS.format("source")} AS w_source FROM documents),
 c AS (SELECT doc_id, len(w_text) + len(w_source) AS doc_len, {counts} FROM w),
@@ -295,6 +295,84 @@ def fts_postings(spark, sf_dir):
     return fulltext.postings(table(spark, sf_dir, "documents"), ("text",), key="doc_id").select("term", "doc_id", "tf")
 
 
+# The same searches by the stored index: built once for a session and a folder, then read by each search.
+
+_INDEXES: dict[tuple[str, str], inverted.Index] = {}
+
+
+def _document_index(spark, sf_dir) -> inverted.Index:
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _INDEXES:
+        _INDEXES[known] = inverted.build(table(spark, sf_dir, "documents"), ("text", "source"), shared.new_path(spark, "fulltext"), key="doc_id")
+    return _INDEXES[known]
+
+
+def _bm25_sql(counts: list[str], matching: str, ranked: list[int]) -> str:
+    """Rows by BM25; counts, the condition over tf_0, tf_1 ..., and the counts that the rank takes are written by hand for each query."""
+    tf = ", ".join(f"{c} AS tf_{i}" for i, c in enumerate(counts))
+    df = ", ".join(f"count(*) FILTER (WHERE tf_{i} > 0) AS df_{i}" for i in range(len(counts)))
+    rank = " + ".join(f"greatest(ln((n - df_{i} + 0.5) / (df_{i} + 0.5)), 0.000001) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * doc_len / mean_len))" for i in ranked)
+    return f"""
+WITH w AS (SELECT doc_id, {_TOKENS.format("text")} AS x, {_TOKENS.format("source")} AS y FROM documents),
+c AS (SELECT doc_id, len(x) + len(y) AS doc_len, {tf} FROM w),
+t AS (SELECT count(*) AS n, avg(doc_len) AS mean_len, {df} FROM c)
+SELECT doc_id, round(-({rank}), 6) AS rank FROM c, t WHERE {matching}"""
+
+
+def _word_sql(word: str) -> str:
+    return f"len(list_filter(x || y, lambda w: w = '{word}'))"
+
+
+#: Name: query, SQL of its counts, condition, and the counts that are ranked.
+INDEXED = {
+    "index_and": ("the anea", [_word_sql("the"), _word_sql("anea")], "tf_0 > 0 AND tf_1 > 0", [0, 1]),
+    "index_or": ("wh OR schch", [_word_sql("wh"), _word_sql("schch")], "tf_0 > 0 OR tf_1 > 0", [0, 1]),
+    "index_not": ("anea NOT wh", [_word_sql("anea"), _word_sql("wh")], "tf_0 > 0 AND NOT tf_1 > 0", [0]),
+    "index_prefix": ("undsch*", ["len(list_filter(x || y, lambda w: starts_with(w, 'undsch')))"], "tf_0 > 0", [0]),
+    "index_column": ("source:src1 the", ["len(list_filter(y, lambda w: w = 'src1'))", _word_sql("the")], "tf_0 > 0 AND tf_1 > 0", [0, 1]),
+    "index_phrase": ('"of the" OR "and of th"*', ["len(list_filter(range(1, len(x)), lambda i: x[i] = 'of' AND x[i + 1] = 'the'))", "len(list_filter(range(1, len(x) - 1), lambda i: x[i] = 'and' AND x[i + 1] = 'of' AND starts_with(x[i + 2], 'th')))"], "tf_0 > 0 OR tf_1 > 0", [0, 1]),
+}
+
+
+def _by_index(q: str):
+    def run(spark, sf_dir):
+        index = _document_index(spark, sf_dir)
+        found = inverted.match(index, q).join(index.table("documents").select("number", F.col("key").alias("doc_id")), "number")
+        return found.select("doc_id", F.round("rank", 6).alias("rank"))
+
+    return run
+
+
+for _name, (_q, *_rest) in INDEXED.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _by_index(_q), _bm25_sql(*_rest)
+
+
+@query(f"SELECT doc_id, rank FROM ({_bm25_sql(*INDEXED['index_and'][1:])}) ORDER BY rank, doc_id LIMIT 20")
+def index_top(spark, sf_dir):
+    return inverted.search(_document_index(spark, sf_dir), "the anea", 20).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"SELECT doc_id, round(1 / (1 + abs(rank)), 5) AS text_score FROM ({_bm25_sql(*INDEXED['index_and'][1:])})")
+def rank_to_score_all(spark, sf_dir):
+    found = fulltext.match(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ("text", "source"), "the anea")
+    return found.select("doc_id", F.round(fulltext.rank_to_score(F.round("rank", 6)), 5).alias("text_score"))
+
+
+@query("""
+SELECT 'posting_without_row' AS code, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'row_without_posting', CAST(doc_id AS VARCHAR) FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def index_orphans(spark, sf_dir):
+    return inverted.orphans(_document_index(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query(f"""
+WITH w AS (SELECT 'text' AS column_name, {_TOKENS.format("text")} AS x FROM documents UNION ALL SELECT 'source', {_TOKENS.format("source")} FROM documents)
+SELECT column_name, count(*) FILTER (WHERE len(x) > 0) AS documents, CAST(sum(len(x)) AS BIGINT) AS words, count(DISTINCT u) AS terms
+FROM (SELECT column_name, x, NULL AS u FROM w UNION ALL SELECT column_name, [], unnest(x) FROM w) GROUP BY column_name""")
+def index_counts(spark, sf_dir):
+    return inverted.row_counts(_document_index(spark, sf_dir))
+
+
 def _hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Documents by text and vectors by similarity, as hits; doc_id pairs with vec_id."""
     d = table(spark, sf_dir, "documents")
