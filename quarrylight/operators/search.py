@@ -7,30 +7,43 @@ from pyspark.sql import functions as F
 
 from quarrylight import schemas
 from quarrylight.functions import text, vectors
-from quarrylight.operators import fulltext
+from quarrylight.operators import fulltext, inverted
 
 # Fixed values.
 SEMANTIC_HITS, SHOWN = 50, 500
 CHUNK_COLUMNS = ("content", "symbol_name", "file_path")
 
 
-def text_hits(chunks: DataFrame, query: str, limit: int, *, relevance_fix: bool = False) -> DataFrame:
+def _searched(rows: DataFrame, columns: tuple[str, ...], query: str, limit: int, index: inverted.Index | None, fallback: str | None) -> DataFrame:
+    """The best rows, with rank. With an index, no text is read but that of the hits; other queries than the language's look for substrings."""
+    if index is None:
+        return fulltext.search(rows, columns, query, limit, fallback=fallback)
+    try:
+        best = inverted.search(index, query, limit).collect()  # `limit` rows
+    except fulltext.QuerySyntaxError:
+        return fulltext.search(rows, columns, query, limit, fallback=fallback)
+    ranks = rows.sparkSession.createDataFrame([(r["id"], r["rank"]) for r in best], "id string, rank double")
+    found = rows.where(F.col("id").isin([r["id"] for r in best])) if best else rows.where(F.lit(False))  # literals reach the scan
+    return found.join(F.broadcast(ranks), "id").orderBy("rank", "id")
+
+
+def text_hits(chunks: DataFrame, query: str, limit: int, *, relevance_fix: bool = False, index: inverted.Index | None = None) -> DataFrame:
     """schemas.SEARCH_HIT by full text. Scores fall as relevance grows unless `relevance_fix` turns them round."""
-    found = fulltext.search(chunks, CHUNK_COLUMNS, query, limit)
+    found = _searched(chunks, CHUNK_COLUMNS, query, limit, index, "content")
     score = fulltext.rank_to_score(F.col("rank"))
     if relevance_fix:
         score = F.when(F.col("rank").isNull(), 0.0).otherwise(1 - score)
     return _hits(found, F.col("id"), F.substring(F.coalesce("content", F.lit("")), 1, SHOWN), text_score=score, source="text")
 
 
-def symbol_hits(symbols: DataFrame, query: str, limit: int) -> DataFrame:
+def symbol_hits(symbols: DataFrame, query: str, limit: int, *, index: inverted.Index | None = None) -> DataFrame:
     """Symbols by full text over name and qualified name, with rank; other queries look for a part of the name."""
-    return fulltext.search(symbols, ("name", "qualified_name"), query, limit, fallback="name")
+    return _searched(symbols, ("name", "qualified_name"), query, limit, index, "name")
 
 
-def indexed_hits(chunks: DataFrame, query: str, limit: int) -> DataFrame:
+def indexed_hits(chunks: DataFrame, query: str, limit: int, *, index: inverted.Index | None = None) -> DataFrame:
     """Chunks by full text alone, with rank: queries outside the language find nothing."""
-    return fulltext.search(chunks, CHUNK_COLUMNS, query, limit, fallback=None)
+    return _searched(chunks, CHUNK_COLUMNS, query, limit, index, None)
 
 
 def nearest(vectors_table: DataFrame, query: list[float], k: int, *, key: str = "chunk_id", vector: str = "vector") -> DataFrame:

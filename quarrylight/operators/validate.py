@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,14 @@ def graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return together(of_nodes, of_edges, g.violations(nodes, edges))
 
 
+def sanitized(message: str, root: str = "") -> str:
+    """A message in one line of 500 characters at most, without this machine's paths: the root's become relative, others <path>."""
+    if root:
+        message = message.replace(root.rstrip("/") + "/", "").replace(root, ".")
+    message = re.sub(r"(?:[A-Za-z]:)?(?:[/\\][\w.@+~ -]+){2,}", "<path>", message)
+    return re.sub(r"[\x00-\x1f\x7f]+", " ", message).strip()[:500]
+
+
 def as_diagnostics(violations: DataFrame, stage: str) -> DataFrame:
     """Violations as fatal diagnostics, messages of 500 characters at most."""
     return violations.select(F.concat(F.lit(f"{stage}_"), "code").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("file_path"), F.substring(F.concat_ws(": ", "code", "key"), 1, 500).alias("message"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import ids
 from quarrylight.operators import chunk, embed, graph, parse, validate
-from quarrylight.plans.state import BuildState
+from quarrylight.plans.state import TERMINAL, BuildState
 from quarrylight.plans.store import Store, StoreError
 from quarrylight.sources import config as configs
 from quarrylight.sources import scan
@@ -38,6 +39,11 @@ class Build:
     counts: dict[str, int] = field(default_factory=dict)
     generation: str | None = None
 
+    def release(self) -> None:
+        """Drops the cached frames; a build that stops before storing keeps them for its caller, who calls this."""
+        for df in self.frames.values():
+            df.unpersist()
+
 
 def file_rows(scanned: DataFrame, parsed: DataFrame) -> DataFrame:
     """The files table: the parser's status leads; files that Python can't parse as text stay not applicable."""
@@ -78,7 +84,17 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
         if bad := violations.limit(1).collect():
             raise BuildError(bad[0]["code"], f"{bad[0]['code']}: {bad[0]['key']}", state.state)
 
-    started = F.current_timestamp()
+    store = store or Store(spark, Path(root, configs.FOLDER))
+    began = datetime.now(timezone.utc)
+    started = F.lit(began)
+
+    def told(status: str, error: BaseException | None = None) -> None:
+        """A line in the log of builds: what the reason was and in which stage, without the paths of this machine."""
+        code = getattr(error, "code", type(error).__name__) if error else None
+        message = validate.sanitized(str(error), root) if error else None
+        stage = next((x for x in reversed(state.history) if x != "error"), state.state)
+        store.builds().append(repo_id=made.repo_id, path=root, status=status, stage=stage, generation=made.generation, error_code=code, error_message=message, started_at=began, completed_at=datetime.now(timezone.utc))
+
     try:
         state.to("scanning")
         read = scan.read_contents(scan.listed(spark, root, scan.IgnoreRules.load(root, tuple(conf.ignore_files)))).cache()
@@ -119,7 +135,6 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
         if stop_after == state.state:
             return made
         state.to("storing")
-        store = store or Store(spark, Path(root, configs.FOLDER))
         repo = F.lit(made.repo_id)
         now = F.current_timestamp()
         status = spark.createDataFrame([(made.repo_id, "complete", encoder.name, "fts5")], "repo_id string, status string, embedding_model string, active_search_mode string")
@@ -137,17 +152,20 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
         }
         made.generation = store.replace(tables)
         state.to("complete")
+        told("complete")
         return made
     except StoreError as e:
         state.to("error")
+        told("error", e)
         raise BuildError(e.code, str(e), "storing") from e
-    except BaseException:  # a failing job or an interrupt ends the build like a refusal does
-        state.to("error")
+    except BaseException as e:  # a failing job or an interrupt ends the build like a refusal does
+        if state.state not in TERMINAL:
+            state.to("error")
+            told("error", e)
         raise
     finally:
         if state.state in ("complete", "error"):
-            for df in frames.values():
-                df.unpersist()
+            made.release()
 
 
 def count(frames: dict[str, DataFrame]) -> dict[str, int]:

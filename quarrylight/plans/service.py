@@ -84,8 +84,8 @@ class QueryService:
         check_query(query)
         check_limit(limit)
         mode = check_choice(mode, schemas.SEARCH_MODES, "mode")
-        chunks, embeddings = self._tables("chunks", "embeddings")
-        by_text = search.text_hits(chunks, query, limit, relevance_fix=relevance_fix) if mode != "semantic" else None
+        active, (chunks, embeddings) = self._open("chunks", "embeddings")
+        by_text = search.text_hits(chunks, query, limit, relevance_fix=relevance_fix, index=self.store.index("chunks", active)) if mode != "semantic" else None
         if mode == "text":
             return by_text
         try:
@@ -162,6 +162,17 @@ class QueryService:
         """Text hits and symbols by part of a name, each on its own."""
         return {"code_matches": self.search_code(query, limit, "text"), "symbol_matches": self.find_symbols(query, limit)}
 
+    def search_symbols(self, query: str, limit: int = 20) -> DataFrame:
+        """Symbols by full text over their names: the columns of the symbols table and rank."""
+        check_query(query)
+        check_limit(limit)
+        active, (symbols,) = self._open("symbols")
+        return search.symbol_hits(symbols, query, limit, index=self.store.index("symbols", active))
+
+    def builds(self) -> DataFrame:
+        """schemas.BUILDS: every build that ended, failed ones too, newest first."""
+        return self.store.builds().read().orderBy(F.desc("completed_at"), "id")
+
     def status(self) -> DataFrame:
         """The status row of the active generation."""
         return self._tables("index_status")[0]

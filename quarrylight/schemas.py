@@ -37,8 +37,9 @@ NODES = _struct("id string!, repo_id string!, node_id string!, label string!, no
 EDGES = _struct("id string!, repo_id string!, source_node_id string!, target_node_id string!, relation string!, confidence string!, source_file string, metadata string")
 EMBEDDINGS = _struct("chunk_id string!, repo_id string!, file_path string!, symbol_name string!, chunk_type string!, language string!, start_line int!, end_line int!, vector floats!")
 STATUS = _struct("repo_id string!, status string!, embedding_model string, active_search_mode string, started_at timestamp, completed_at timestamp, error_message string, files long, parsed long, not_applicable long, errors long, symbols long, imports long, routes long, tests long, chunks long, vectors long, nodes long, edges long, warnings long, fatal_errors long")
-TOOL_CALLS = _struct("id string!, repo_id string, tool_name string!, arguments string, status string, duration_ms long, created_at timestamp")
+TOOL_CALLS = _struct("id string!, repo_id string, tool_name string!, arguments string, status string, output_summary string, result_count long, duration_ms long, created_at timestamp")
 REPORTS = _struct("id string!, repo_id string!, report_type string!, content string, created_at timestamp")
+BUILDS = _struct("id string!, repo_id string!, path string!, status string!, stage string!, generation string, error_code string, error_message string, started_at timestamp, completed_at timestamp")
 DIAGNOSTICS = _struct("code string!, severity string!, file_path string, message string!")
 
 #: The tables of one generation.
