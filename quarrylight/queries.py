@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, secrets, shared, text, vectors
-from quarrylight.operators import chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, search, validate
+from quarrylight.operators import ann, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, search, validate
 from quarrylight.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,6 +224,38 @@ def knn_cosine_top50(spark, sf_dir):
     return e.orderBy(F.desc("score"), "vec_id").limit(search.SEMANTIC_HITS)
 
 
+_VECTORS: dict[tuple[str, str], ann.VectorIndex] = {}
+
+
+def _vector_index(spark, sf_dir) -> ann.VectorIndex:
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _VECTORS:
+        _VECTORS[known] = ann.VectorIndex.build(table(spark, sf_dir, "embeddings"), shared.new_path(spark, "vectors"), key="vec_id", vector="embedding")
+    return _VECTORS[known]
+
+
+@query(ORACLE_SQL["knn_cosine_top50"])
+def knn_by_index(spark, sf_dir):
+    """All lists probed and 200 candidates a hit re-ranked; recall with fewer is measured in the tests."""
+    found = _vector_index(spark, sf_dir).search(_probe(spark, sf_dir), 50, probes=ann.LISTS, ranked=200)
+    return found.select(F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("""
+SELECT vec_id, round(CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: i * CAST(v[i] AS DOUBLE))) AS DOUBLE), 4) AS weighed FROM (
+  SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings WHERE vec_id % 7 <> 0
+  UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE label = 0)""")
+def vectors_after_edits(spark, sf_dir):
+    """An index of its own: rows are replaced, taken out and added, then what counts is read."""
+    e = table(spark, sf_dir, "embeddings")
+    index = ann.VectorIndex.build(e, shared.new_path(spark, "vectors"), key="vec_id", vector="embedding")
+    index.upsert(e.where("vec_id % 5 = 0").select("vec_id", F.reverse("embedding").alias("embedding")), key="vec_id", vector="embedding")
+    index.delete(e.where("vec_id % 7 = 0"), key="vec_id")
+    index.upsert(e.where("label = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), "embedding"), key="vec_id", vector="embedding")
+    weighed = F.aggregate(F.transform("vector", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return index.rows().select(F.col("key").alias("vec_id"), F.round(weighed, 4).alias("weighed"))
+
+
 # Full text.
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"

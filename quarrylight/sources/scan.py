@@ -1,7 +1,7 @@
-"""The scan of a source tree: paths are listed on the driver, contents read and judged on executors.
+"""The scan of a source tree: paths are listed, contents read and judged on executors.
 
-Spark's own file sources leave out names that start with _ or a dot, so files are listed by a walk (ignored directories
-are never entered) and read in mapInPandas tasks; everything after reading is column expressions.
+Spark's own file sources leave out names that start with _ or a dot, so files are listed by a data source of our own (sources.tree;
+ignored directories are never entered) and read in mapInPandas tasks; everything after reading is column expressions.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import running, secrets, text
+from quarrylight.sources import tree
 
 # What is never indexed, and the limits of a repository.
 IGNORED_DIRS = (".git", ".quarrylight", "node_modules", "__pycache__", ".venv", "venv")
@@ -68,39 +70,53 @@ def is_env_file(path: Column) -> Column:
 
 
 def listed(spark: SparkSession, root: str, rules: IgnoreRules) -> DataFrame:
-    """path, absolute_path, is_link and ignored of every file outside ignored directories, in the order of the walk (seq)."""
-    rows = []
-    for folder, dirs, names in os.walk(root, followlinks=False):
-        inside = os.path.relpath(folder, root).replace(os.sep, "/")
-        prefix = "" if inside == "." else inside + "/"
-        dirs[:] = sorted(d for d in dirs if not rules.matches(prefix + d))
-        rows += [(prefix + n, os.path.join(folder, n)) for n in sorted(names)]
-    frame = spark.createDataFrame([(i, p, os.path.abspath(a), os.path.islink(a)) for i, (p, a) in enumerate(rows)], "seq int, path string, absolute_path string, is_link boolean")
-    return frame.withColumn("ignored", rules.column(F.col("path")))
-
-
-def _read(frames):
-    for frame in frames:
-        contents, sizes = [], []
-        for path, wanted in zip(frame["absolute_path"], frame["wanted"], strict=True):
-            data, size = None, None
-            if wanted:
-                try:
-                    size = os.path.getsize(path)
-                    with open(path, "rb") as f:
-                        data = f.read(MAX_FILE_BYTES + 1)
-                except OSError:
-                    pass
-            contents.append(data)
-            sizes.append(size)
-        yield frame.assign(content=contents, size_bytes=pd.array(sizes, dtype="Int64")).drop(columns=["wanted"])
-
-
-def read_contents(files: DataFrame) -> DataFrame:
-    """The listed files with size_bytes and content (null if unreadable, at most one byte over the limit)."""
+    """path, absolute_path, is_link and ignored of every file outside ignored directories; seq rises in the order of the walk.
+
+    The walk's order has files of a folder before its folders. `root` is a local path or any URI that tree.py can list.
+    """
+    spark.dataSource.register(tree.TreeSource)
+    parts = spark.sparkContext.defaultParallelism
+    found = spark.read.format(tree.NAME).option("parts", str(parts)).option("pattern", rules.regex.replace(r"\z", r"\Z")).load(root)
+    rows = found.orderBy("place").select(F.monotonically_increasing_id().alias("seq"), "path", "absolute_path", "is_link")
+    return rows.withColumn("ignored", rules.column(F.col("path")))
+
+
+def _reader(root: str):
+    def read(frames):
+        for frame in frames:
+            contents, sizes = [], []
+            for path, wanted in zip(frame["absolute_path"], frame["wanted"], strict=True):
+                data, size = _content(root, path) if wanted else (None, None)
+                contents.append(data)
+                sizes.append(size)
+            yield frame.assign(content=contents, size_bytes=pd.array(sizes, dtype="Int64")).drop(columns=["wanted"])
+
+    return read
+
+
+def _content(root: str, path: str) -> tuple[bytes | None, int | None]:
+    """The first bytes of a file, one more than the limit, and its size; None for what can't be read."""
+    size = None
+    try:
+        if urlparse(root).scheme in ("", "file"):
+            size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                return f.read(MAX_FILE_BYTES + 1), size
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(root)
+        size = system.get_file_info(path).size
+        with system.open_input_stream(path) as f:
+            return f.read(MAX_FILE_BYTES + 1), size
+    except OSError:
+        return None, size
+
+
+def read_contents(files: DataFrame, root: str = "") -> DataFrame:
+    """The listed files with size_bytes and content (null if unreadable, at most one byte over the limit); root tells the file system."""
     n = max(1, min(files.sparkSession.sparkContext.defaultParallelism * 4, 200))
     wanted = files.withColumn("wanted", ~F.col("ignored") & ~F.col("is_link")).repartition(n)
-    return wanted.mapInPandas(_read, "seq int, path string, absolute_path string, is_link boolean, ignored boolean, content binary, size_bytes long")
+    return wanted.mapInPandas(_reader(root), "seq long, path string, absolute_path string, is_link boolean, ignored boolean, content binary, size_bytes long")
 
 
 def skip_reason(read: DataFrame) -> Column:
@@ -120,7 +136,7 @@ def skip_reason(read: DataFrame) -> Column:
 def scan(spark: SparkSession, root: str, *, ignore_files: tuple[str, ...] = IGNORE_FILES, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(files, diagnostics) of a source tree; files as schemas.SCANNED, diagnostics as schemas.DIAGNOSTICS."""
     root = os.path.abspath(root)
-    read = read_contents(listed(spark, root, IgnoreRules.load(root, ignore_files)))
+    read = read_contents(listed(spark, root, IgnoreRules.load(root, ignore_files)), root)
     return judge(read, max_files=max_files, max_bytes=max_bytes)
 
 
