@@ -709,25 +709,32 @@ def keyword_scores(spark, sf_dir):
 
 
 def _sources(spark, sf_dir) -> DataFrame:
-    """A module for each document: a function for each of its lines, with the line's words in it, then a class, a route and a test.
+    """A module for each document: a function for each of its lines, with the line's words in it, a route, a test, and a class for each distinct word.
 
-    Names carry the document and the line. A line calls the next one, the last line and the class name the next document, so that
+    Names of functions carry the document and the line. A line calls the next one and the last line the next document's first, so that
     links between modules grow with their number.
     """
     nr, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")))
+    words = F.when(F.size(words) == 0, F.array(F.lit("empty"))).otherwise(words)
 
     def block(line: Column, i: Column) -> Column:
         said = F.regexp_replace(line, r"[^\p{L}\p{N} ]+", " ")
         to = F.when(i + 1 < F.size(lines), F.concat(nr, F.lit("_"), (i + 1).cast("string"))).otherwise(F.concat(after, F.lit("_0")))
         return F.concat(F.lit("def line_"), nr, F.lit("_"), i.cast("string"), F.lit('(text):\n    words = "'), said, F.lit('"\n    return line_'), to, F.lit("(words)\n"))
 
-    tail = F.concat(F.lit("class Page_"), nr, F.lit("(Page_"), after, F.lit("):\n    def run(self):\n        return line_"), nr, F.lit('_0(self)\n\n@app.get("/doc/'), nr, F.lit('")\ndef show_'), nr, F.lit("():\n    return line_"), nr, F.lit('_0("")\n\ndef test_line_'), nr, F.lit("_0():\n    assert line_"), nr, F.lit('_0("")\n'))
-    body = F.concat(F.lit("import os\n\n"), F.array_join(F.transform(lines, block), "\n"), F.lit("\n"), tail)
+    def named(word: Column, i: Column) -> Column:
+        return F.concat(F.lit("class C"), word, F.when(i == 0, F.concat(F.lit(":\n    def run(self):\n        return line_"), nr, F.lit("_0(self)"))).otherwise(": pass"))
+
+    tail = F.concat(F.lit('@app.get("/doc/'), nr, F.lit('")\ndef show_'), nr, F.lit("():\n    return line_"), nr, F.lit('_0("")\n\ndef test_line_'), nr, F.lit("_0():\n    assert line_"), nr, F.lit('_0("")\n'))
+    body = F.concat(F.lit("import os\n\n"), F.array_join(F.transform(lines, block), "\n"), F.lit("\n"), tail, F.array_join(F.transform(words, named), "\n"), F.lit("\n"))
     return doc_files(spark, sf_dir).select(F.regexp_replace("path", "md$", "py").alias("path"), body.alias("text"), F.lit(False).alias("is_binary"), F.lit("pending").alias("parse_status"), F.lit("source").alias("file_type"))
 
 
-_MODULES = "WITH m AS (SELECT doc_id, source || '/doc_' || doc_id || '.py' AS path, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), l AS (SELECT *, unnest(range(n)) AS i FROM m), t AS (SELECT *, 3 + 4 * n AS z FROM m)"
+_MODULES = """WITH w AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> ''))) AS found FROM documents),
+m AS (SELECT doc_id, source || '/doc_' || doc_id || '.py' AS path, len(string_split(coalesce(text, ''), chr(10))) AS n, CASE WHEN len(found) = 0 THEN ['empty'] ELSE found END AS words FROM w),
+l AS (SELECT *, unnest(range(n)) AS i FROM m), t AS (SELECT *, 3 + 4 * n AS z FROM m), k AS (SELECT path, z, unnest(words) AS word, unnest(range(len(words))) AS j FROM t)"""
 
 
 @query(f"""
@@ -735,11 +742,11 @@ _MODULES = "WITH m AS (SELECT doc_id, source || '/doc_' || doc_id || '.py' AS pa
 s(path, symbol_type, name, qualified_name, signature, start_line, end_line) AS (
   SELECT path, 'function', 'line_' || doc_id || '_' || i, 'line_' || doc_id || '_' || i, '(text)', 3 + 4 * i, 5 + 4 * i FROM l
   UNION ALL SELECT path, 'variable', 'words', 'words', NULL, 4 + 4 * i, 4 + 4 * i FROM l
-  UNION ALL SELECT path, 'class', 'Page_' || doc_id, 'Page_' || doc_id, NULL, z, z + 2 FROM t
-  UNION ALL SELECT path, 'method', 'run', 'Page_' || doc_id || '.run', '(self)', z + 1, z + 2 FROM t
-  UNION ALL SELECT path, 'function', 'show_' || doc_id, 'show_' || doc_id, '()', z + 5, z + 6 FROM t
-  UNION ALL SELECT path, 'route', 'GET /doc/' || doc_id, 'show_' || doc_id, '()', z + 4, z + 6 FROM t
-  UNION ALL SELECT path, 'function', 'test_line_' || doc_id || '_0', 'test_line_' || doc_id || '_0', '()', z + 8, z + 9 FROM t)
+  UNION ALL SELECT path, 'function', 'show_' || doc_id, 'show_' || doc_id, '()', z + 1, z + 2 FROM t
+  UNION ALL SELECT path, 'route', 'GET /doc/' || doc_id, 'show_' || doc_id, '()', z, z + 2 FROM t
+  UNION ALL SELECT path, 'function', 'test_line_' || doc_id || '_0', 'test_line_' || doc_id || '_0', '()', z + 4, z + 5 FROM t
+  UNION ALL SELECT path, 'method', 'run', 'C' || words[1] || '.run', '(self)', z + 7, z + 8 FROM t
+  UNION ALL SELECT path, 'class', 'C' || word, 'C' || word, NULL, CASE WHEN j = 0 THEN z + 6 ELSE z + 8 + j END, z + 8 + j FROM k)
 SELECT path, symbol_type, name, qualified_name, signature, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line,
   CASE WHEN symbol_type = 'route' THEN 'route:GET:' || substr(name, 5) || ':' || path || ':' || start_line ELSE symbol_type || ':' || path || ':' || name || ':' || start_line END AS symbol_id
 FROM s""")
@@ -749,8 +756,7 @@ def parse_python_symbols(spark, sf_dir):
 
 @query(f"""
 {_MODULES}, e(relation, n) AS (
-  SELECT 'defines', sum(n + 6) FROM m UNION ALL SELECT 'handles_route', count(*) FROM m UNION ALL SELECT 'imports', count(*) FROM m UNION ALL SELECT 'tests', count(*) FROM m
-  UNION ALL SELECT 'inherits', count(*) FROM m WHERE doc_id + 1 IN (SELECT doc_id FROM documents)
+  SELECT 'defines', sum(n + 5 + len(words)) FROM m UNION ALL SELECT 'handles_route', count(*) FROM m UNION ALL SELECT 'imports', count(*) FROM m UNION ALL SELECT 'tests', count(*) FROM m
   UNION ALL SELECT 'calls', sum(n + 2 + CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 1 ELSE 0 END) FROM m)
 SELECT relation, CAST(n AS BIGINT) AS n FROM e WHERE n > 0""")
 def graph_of_sources(spark, sf_dir):
