@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, secrets, shared, text, vectors
-from quarrylight.operators import ann, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, search, validate
+from quarrylight.operators import ann, bands, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, paths, search, validate
 from quarrylight.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,6 +580,43 @@ def two_hop_reachability(spark, sf_dir):
     return graph.reachable(the_graph(spark, sf_dir)[1], "region:1", 2)
 
 
+def _reach_sql(step: str, start: str) -> str:
+    return f"""
+WITH RECURSIVE {_EDGES}, l AS (SELECT DISTINCT {step} FROM e),
+r(node_id, hops) AS (SELECT '{start}', 0 UNION SELECT l.b, r.hops + 1 FROM r JOIN l ON l.a = r.node_id WHERE r.hops < 3),
+f AS (SELECT node_id, min(hops) AS hops FROM r GROUP BY node_id),
+p AS (SELECT f.node_id, f.hops, min(g.node_id) AS previous FROM f LEFT JOIN l ON l.b = f.node_id LEFT JOIN f g ON g.node_id = l.a AND g.hops = f.hops - 1 GROUP BY f.node_id, f.hops),
+w(node_id, up, path) AS (SELECT node_id, previous, node_id FROM p UNION ALL SELECT w.node_id, p.previous, p.node_id || '>' || w.path FROM w JOIN p ON p.node_id = w.up)
+SELECT p.node_id, CAST(p.hops AS INTEGER) AS hops, p.previous, w.path FROM p JOIN w ON w.node_id = p.node_id AND w.up IS NULL"""
+
+
+def _reach(spark, sf_dir, direction: str, start: str) -> DataFrame:
+    edges = graph.distinct_edges(raw_edges(spark, sf_dir))
+    found = paths.reach(paths.links(edges, direction), spark.createDataFrame([(start,)], "node_id string"), 3)
+    return found.select("node_id", "hops", "previous", F.array_join("path", ">").alias("path"))
+
+
+@query(_reach_sql("s AS a, t AS b", "region:1"))
+def reach_outgoing(spark, sf_dir):
+    return _reach(spark, sf_dir, "outgoing", "region:1")
+
+
+@query(_reach_sql("t AS a, s AS b", "supplier:1"))
+def reach_incoming(spark, sf_dir):
+    return _reach(spark, sf_dir, "incoming", "supplier:1")
+
+
+@query(f"""
+WITH {_SCORES.replace("SELECT vec_id, round", "SELECT vec_id, label, round")},
+g AS (SELECT *, CASE WHEN round(lag(score) OVER (ORDER BY score DESC) - score, 9) > 0.02 THEN 1 ELSE 0 END AS opens FROM s),
+b AS (SELECT vec_id, label, score, 1 + sum(opens) OVER (ORDER BY score DESC RANGE UNBOUNDED PRECEDING) AS band FROM g)
+SELECT vec_id, label, score, CAST(band AS BIGINT) AS band FROM b""")
+def score_bands(spark, sf_dir):
+    q = F.array(*map(F.lit, _probe(spark, sf_dir)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(vectors.clamped(vectors.cosine(F.col("embedding"), q)), 6).alias("score"))
+    return bands.ranked(e, "score", [F.col("label"), F.col("vec_id")])
+
+
 # Names resolved to symbols.
 
 
