@@ -6,13 +6,14 @@ import os
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids
-from quarrylight.operators import chunk, embed, graph, parse, validate
+from quarrylight.operators import chunk, embed, graph, parse, rules, validate
 from quarrylight.plans.state import TERMINAL, BuildState
 from quarrylight.plans.store import Store, StoreError
 from quarrylight.sources import config as configs
@@ -88,6 +89,11 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
     began = datetime.now(timezone.utc)
     started = F.lit(began)
 
+    def keeps_rules(frames: dict[str, DataFrame], *artifacts: str) -> None:
+        found = reduce(DataFrame.unionByName, (rules.violations(a, frames) for a in artifacts))
+        for bad in rules.first(found).orderBy("place", "priority").limit(1).collect():
+            raise BuildError(f"{bad['artifact']}_{bad['rule']}", f"{bad['message']} {bad['key'] or ''}".strip(), state.state)
+
     def told(status: str, error: BaseException | None = None) -> None:
         """A line in the log of builds: what the reason was and in which stage, without the paths of this machine."""
         code = getattr(error, "code", type(error).__name__) if error else None
@@ -102,17 +108,17 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
         scanned, diagnostics = scan.judge(read, max_files=conf.max_files, max_bytes=conf.max_bytes)
         scanned, diagnostics = keep("scanned", scanned), keep("diagnostics", diagnostics)
         check(diagnostics.where("severity = 'error'").select("code", F.col("file_path").alias("key")))
-        check(validate.scanned(scanned))
+        keeps_rules({"files": scanned}, "files")
         if stop_after == state.state:
             return made
         state.to("parsing")
         parsed = keep("parsed", parse.parse(scanned))
-        check(validate.parsed(parsed, scanned))
+        keeps_rules({"files": scanned, "parsed": parsed, "symbols": parse.symbols(parsed), "routes": parse.routes(parsed)}, "parsed", "symbols", "routes")
         if stop_after == state.state:
             return made
         state.to("chunking")
         chunks = keep("chunks", chunk.chunks(scanned, parsed))
-        check(validate.chunks(chunks, scanned))
+        keeps_rules({"files": scanned, "chunks": chunks}, "chunks")
         if stop_after == state.state:
             return made
         state.to("embedding")
@@ -129,9 +135,11 @@ def build(spark: SparkSession, root: str, *, encoder: embed.Encoder | None = Non
         state.to("graphing")
         nodes, edges = graph.build(scanned.select("path", "file_type"), parsed, include_unparsed_files=include_unparsed_files)
         nodes, edges = keep("nodes", nodes), keep("edges", edges)
-        check(validate.graph(nodes, edges))
+        keeps_rules({"nodes": nodes, "edges": edges}, "nodes", "edges")
         files, symbols = keep("files", file_rows(scanned, parsed)), keep("symbols", symbol_rows(parsed))
         made.counts = count(frames)
+        if broken := rules.broken_counters(made.counts):
+            raise BuildError("counts_contradict", "; ".join(broken), state.state)
         if stop_after == state.state:
             return made
         state.to("storing")
