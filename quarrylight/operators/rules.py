@@ -1,9 +1,9 @@
 """Rules that the artifacts of a build must keep, as tables, and one engine that runs them.
 
 A rule is a condition of a row, a key that may not repeat, a key that another artifact must have, or a count that must hold. All row
-rules of an artifact are one expression in one pass; keys are aggregated, and only those that repeat or are unknown come back to
-their rows. The first violation is that of the first row in the artifact's order, then of the first rule in the table's order; counts
-come after all rows. Types are given by schemas, so no rule looks at them.
+rules of an artifact are one expression in one pass, all keys that may not repeat one aggregation, and all keys that must be known to
+an artifact one anti-join. A repeated key is told at its last row. The first violation is that of the first row in the artifact's order, then
+of the first rule in the table's order; counts come after all rows. Types are given by schemas, so no rule looks at them.
 """
 
 from __future__ import annotations
@@ -149,22 +149,31 @@ def violations(artifact: str, frames: dict[str, DataFrame], order: str | None =
     place = F.col(order) if order else F.xxhash64(key).bitwiseAND(F.lit(_LAST >> 1))
     df = df.withColumn("__place", place.cast("long"))
     rules = RULES[artifact]
-    tests = [F.when(F.coalesce(rule.broken(), F.lit(False)), F.struct(*_row(artifact, rule, i, F.col("__place"), F.col(key), F.col(path)))) for i, rule in enumerate(rules) if rule.broken]
+    row = lambda i, at, k, where: F.struct(*_row(artifact, rules[i], i, at, k, where))
+    tests = [F.when(F.coalesce(rule.broken(), F.lit(False)), row(i, F.col("__place"), F.col(key), F.col(path))) for i, rule in enumerate(rules) if rule.broken]
     found = [df.select(F.inline(F.filter(F.array(*tests), lambda x: x.isNotNull())))]
-    for i, rule in enumerate(rules):
-        if rule.unique:
-            names = list(rule.unique)
-            filled = [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(f"__{k}") for k, n in enumerate(names)]
-            on = [f"__{k}" for k in range(len(names))]
-            keyed = df.select("*", *filled)
-            twice = keyed.groupBy(*on).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-            later = keyed.join(twice, on).groupBy(*on).agg(F.min(F.struct(F.when(F.col("__place") > F.col("__first"), F.col("__place")).otherwise(F.col("__first")).alias("place"), F.col(key).alias("key"), F.col(path).alias("path"))).alias("x"), F.min(F.when(F.col("__place") > F.col("__first"), F.col("__place"))).alias("__second"))
-            found.append(later.select(*_row(artifact, rule, i, F.coalesce("__second", "x.place"), F.col("x.key"), F.col("x.path"))))
-        elif rule.known:
-            column, other, name = rule.known
-            there = frames[other].select(F.col(name).alias("__k")).distinct()
-            lost = df.where(F.col(column) != "").withColumn("__k", F.col(column)).join(there, "__k", "left_anti")
-            found.append(lost.select(*_row(artifact, rule, i, F.col("__place"), F.col(key), F.col(path))))
+
+    def told(i: Column, which: list[int], at: str, k: str, where: str) -> Column:
+        """The row of the rule whose number is in a column."""
+        out = F.when(i == which[0], row(which[0], F.col(at), F.col(k), F.col(where)))
+        for other in which[1:]:
+            out = out.when(i == other, row(other, F.col(at), F.col(k), F.col(where)))
+        return out
+
+    unique = [i for i, rule in enumerate(rules) if rule.unique]
+    if unique:
+        value = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
+        keys = F.array(*(F.struct(F.lit(i).alias("i"), F.to_json(F.array(*map(value, rules[i].unique))).alias("v")) for i in unique))
+        met = df.select(F.col("__place").alias("at"), F.col(key).alias("key"), F.col(path).alias("path"), F.inline(keys))
+        twice = met.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "key", "path")).alias("x")).where("n > 1")
+        found.append(twice.select(told(F.col("i"), unique, "x.at", "x.key", "x.path").alias("y")).select("y.*"))
+    others = {rule.known[1:] for rule in rules if rule.known}
+    for other, name in sorted(others):
+        known = [i for i, rule in enumerate(rules) if rule.known and rule.known[1:] == (other, name)]
+        values = F.array(*(F.struct(F.lit(i).alias("i"), F.col(rules[i].known[0]).alias("v")) for i in known))
+        asked = df.select(F.col("__place").alias("at"), F.col(key).alias("key"), F.col(path).alias("path"), F.inline(values)).where("v <> ''")
+        lost = asked.join(frames[other].select(F.col(name).alias("v")).distinct(), "v", "left_anti")
+        found.append(lost.select(told(F.col("i"), known, "at", "key", "path").alias("y")).select("y.*"))
     return reduce(DataFrame.unionByName, found)
 
 
