@@ -21,7 +21,7 @@ from quarrylight.plans.store import Store
 from quarrylight.plans.tools import Tools
 from quarrylight.sources import config, inputs
 
-TOOLS = ("repository_summary", "search_code", "hybrid_search", "find_symbols", "find_routes", "get_related_code", "analyze_change_impact", "find_existing_implementation")
+TOOLS = ("repository_summary", "search_code", "hybrid_search", "find_symbols", "find_routes", "get_related_code", "analyze_change_impact", "find_existing_implementation", "find_symbol", "get_file_context", "find_related_files", "find_related_tests", "explain_change_impact", "check_existing_implementation")
 
 
 def session() -> SparkSession:

@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from quarrylight.operators import embed
+from quarrylight.plans.contracts import Contracts
 from quarrylight.plans.service import QueryService, QueryValidationError, RepositoryNotIndexedError, check_limit, to_json
 from quarrylight.plans.store import Store
 from quarrylight.sources import config as configs
@@ -29,7 +30,7 @@ class Tools:
             found = json.loads(said)
             failed = isinstance(found, dict) and "error" in found
             count = 0 if failed else len(found) if isinstance(found, list) else sum(len(x) for x in found.values() if isinstance(x, list))
-            summary = found["code"] if failed else f"{count} results"
+            summary = found.get("code", found["error"]) if failed else f"{count} results"
             store = Store(self.spark, os.path.join(os.path.abspath(repository_root), configs.FOLDER))
             store.tool_calls().append(tool_name=tool, arguments=json.dumps(arguments, ensure_ascii=False, default=str)[:4000], status="error" if failed else "ok", output_summary=summary, result_count=count, duration_ms=round(1000 * (time.monotonic() - began)), created_at=datetime.now(timezone.utc))
         return said
@@ -70,3 +71,22 @@ class Tools:
 
     def find_existing_implementation(self, repository_root: str, query: str, limit: int = 10) -> str:
         return self._logged("find_existing_implementation", repository_root, {"query": query, "limit": limit}, limit, lambda s: s.find_existing_implementation(query, limit))
+
+    def find_symbol(self, repository_root: str, name: str, symbol_type: str = "", limit: int = 100) -> str:
+        return self._logged("find_symbol", repository_root, {"name": name, "symbol_type": symbol_type, "limit": limit}, limit, lambda s: Contracts(s).find_symbol(name, symbol_type or None, limit))
+
+    def get_file_context(self, repository_root: str, file_path: str, limit: int = 100) -> str:
+        return self._logged("get_file_context", repository_root, {"file_path": file_path, "limit": limit}, limit, lambda s: Contracts(s).get_file_context(file_path, limit))
+
+    def find_related_files(self, repository_root: str, target: str, max_hops: int = 2, relation_types: str = "", limit: int = 100) -> str:
+        kinds = [x.strip() for x in relation_types.split(",") if x.strip()] or None
+        return self._logged("find_related_files", repository_root, {"target": target, "max_hops": max_hops, "relation_types": relation_types, "limit": limit}, limit, lambda s: Contracts(s).find_related_files(target, max_hops, kinds, limit))
+
+    def find_related_tests(self, repository_root: str, target: str, limit: int = 100) -> str:
+        return self._logged("find_related_tests", repository_root, {"target": target, "limit": limit}, limit, lambda s: Contracts(s).find_related_tests(target, limit))
+
+    def explain_change_impact(self, repository_root: str, target: str, change_type: str = "modify_function", function_name: str = "", limit: int = 100) -> str:
+        return self._logged("explain_change_impact", repository_root, {"target": target, "change_type": change_type, "function_name": function_name, "limit": limit}, limit, lambda s: Contracts(s).explain_change_impact(target, change_type, function_name or None, limit))
+
+    def check_existing_implementation(self, repository_root: str, feature: str) -> str:
+        return self._logged("check_existing_implementation", repository_root, {"feature": feature}, None, lambda s: Contracts(s).check_existing_implementation(feature))
