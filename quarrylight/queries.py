@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import ids, secrets, shared, text, vectors
-from quarrylight.operators import ann, bands, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, paths, search, validate
-from quarrylight.sources import scan
+from quarrylight.operators import ann, bands, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, paths, rules, search, validate
+from quarrylight.sources import inputs, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,6 +113,58 @@ def github_url_parse(spark, sf_dir):
     return p.select("page_id", F.lower(F.regexp_extract("u", pattern, 1)).alias("owner"), F.regexp_extract("u", pattern, 2).alias("name"))
 
 
+@query("""
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'ignored_by_rules' WHEN page_id % 13 = 0 THEN 'symlink_skipped' WHEN page_id % 17 = 0 THEN 'file_skipped: could not stat or read file'
+  WHEN n = 0 THEN 'file_skipped: empty file' WHEN page_id % 4 = 1 THEN 'file_skipped: binary file' WHEN page_id % 19 = 0 THEN 'file_skipped: could not read file'
+  WHEN n > 1048576 THEN 'file_skipped: file too large' END AS reason
+FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) * CASE WHEN page_id % 5 = 0 THEN 1000 ELSE 1 END AS n FROM pages)""")
+def suitability_rules(spark, sf_dir):
+    """Pages as files in the scanner's own judgement; every fifth stands for a file a thousand times as large."""
+    n = F.col("page_id")
+    name = F.concat(F.lit("site/page_"), n.cast("string"), F.element_at(F.array(*map(F.lit, (".html", ".exe", ".txt", ".py"))), (n % 4 + 1).cast("int")))
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long") * F.when(n % 5 == 0, 1000).otherwise(1)
+    read = table(spark, sf_dir, "pages").select("page_id", name.alias("path"), (n % 11 == 0).alias("ignored"), (n % 13 == 0).alias("is_link"), F.when(n % 17 != 0, size).alias("size_bytes"), F.when(n % 19 != 0, F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("content"))
+    reason = scan.skip_reason(read)
+    short = F.when(reason.startswith("file_skipped"), F.regexp_replace(reason, r" \(.*", "")).otherwise(F.substring_index(reason, ":", 1))
+    return read.select("page_id", short.alias("reason"))
+
+
+@query("""
+SELECT page_id, owner, 'repo' || page_id AS name FROM (SELECT page_id, regexp_extract(url, '://([^/.]+)', 1) AS owner FROM pages)
+WHERE page_id % 3 <> 0 AND regexp_matches(owner, '^[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?$')""")
+def github_urls(spark, sf_dir):
+    """The operator itself over URLs made of the pages' hosts; every third is of another site."""
+    n = F.col("page_id").cast("string")
+    site = F.when(F.col("page_id") % 3 == 0, "https://example.com/").otherwise("https://www.github.com/")
+    made = table(spark, sf_dir, "pages").select("page_id", F.concat(site, F.regexp_extract("url", "://([^/.]+)", 1), F.lit("/repo"), n, F.lit(".git/")).alias("u"))
+
+    def parsed(frames):
+        for frame in frames:
+            found = [inputs.parse_github_url(u or "") for u in frame["u"]]
+            kept = [f is not None for f in found]
+            yield frame.loc[kept, ["page_id"]].assign(owner=[f[0] for f in found if f], name=[f[1] for f in found if f])
+
+    return made.mapInPandas(parsed, "page_id long, owner string, name string")
+
+
+@query("""
+WITH c AS (
+  SELECT doc_id, n_chars % 7 AS a, n_chars % 5 AS b, coalesce(text, '') AS t, CASE WHEN doc_id % 40 = 1 THEN '/x' WHEN doc_id % 40 = 2 THEN 'x/../y' ELSE source END AS p, doc_id // 2 AS id FROM documents)
+SELECT rule, doc_id AS place FROM (
+  SELECT 'absolute_path' AS rule, doc_id FROM c WHERE p = '/x' UNION ALL SELECT 'path_leaves_root', doc_id FROM c WHERE p = 'x/../y'
+  UNION ALL SELECT 'bad_first_line', doc_id FROM c WHERE a < 1 UNION ALL SELECT 'bad_last_line', doc_id FROM c WHERE b < a
+  UNION ALL SELECT 'blank_content', doc_id FROM c WHERE NOT regexp_matches(t, '[^\x09-\x0D ]')
+  UNION ALL SELECT 'bad_content_hash', doc_id FROM c WHERE doc_id % 50 = 0 UNION ALL SELECT 'bad_chunk_type', doc_id FROM c WHERE doc_id % 60 = 0
+  UNION ALL SELECT 'unknown_file', doc_id FROM c WHERE p IN ('/x', 'x/../y') OR p = 'src1' UNION ALL SELECT 'repeated_chunk_id', max(doc_id) FROM c GROUP BY id HAVING count(*) > 1)""")
+def chunk_rules(spark, sf_dir):
+    """Documents as chunks with faults: the rule engine's violations."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    content = F.coalesce("text", F.lit(""))
+    rows = d.select(n.alias("place"), F.floor(n / 2).cast("string").alias("id"), F.when(n % 40 == 1, "/x").when(n % 40 == 2, "x/../y").otherwise(F.col("source")).alias("file_path"), (F.col("n_chars") % 7).alias("start_line"), (F.col("n_chars") % 5).alias("end_line"), content.alias("content"), F.when(n % 50 == 0, "0").otherwise(F.sha2(content, 256)).alias("content_hash"), F.when(n % 60 == 0, "page").otherwise("config").alias("chunk_type"))
+    files = d.where("source <> 'src1'").select(F.col("source").alias("path")).distinct()
+    return rules.violations("chunks", {"chunks": rows, "files": files}, "place").select("rule", "place")
+
+
 # Chunks.
 
 
