@@ -73,7 +73,7 @@ def test_queries_match_their_sql(spark, name):
         assert found
         return
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     answer = con.execute(queries.ORACLE_SQL[name])
     at = [[x[0] for x in answer.description].index(c) for c in df.columns]
