@@ -58,8 +58,9 @@ def most_connected(edges: DataFrame, k: int) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "node_id").limit(k)
 
 
-def file_context(path: str, symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """kind and name of what a file holds and imports."""
-    held = symbols.join(files.where(F.col("path") == path).select(F.col("id").alias("file_id")), "file_id").select(F.col("symbol_type").alias("kind"), F.coalesce("qualified_name", "name").alias("name"))
-    brought = edges.where((F.col("source_node_id") == f"file:{path}") & (F.col("relation") == "imports")).select(F.lit("import").alias("kind"), F.get_json_object("metadata", "$.module_name").alias("name"))
-    return held.unionByName(brought)
+def files_with_most_symbols(symbols: DataFrame, files: DataFrame, k: int, *, key: str = "file_id", file_key: str = "id", path: str = "path") -> DataFrame:
+    """path, n_symbols and share (of all symbols, to four digits) of the k files that hold most; ties in order of the path."""
+    held = symbols.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n_symbols"))
+    whole = held.agg(F.sum("n_symbols").alias("whole"))  # one row
+    named = held.join(files.select(F.col(file_key).alias("k"), F.col(path).alias("path")), "k").crossJoin(F.broadcast(whole))
+    return named.select("path", "n_symbols", F.round(F.col("n_symbols") / F.col("whole"), 4).alias("share")).orderBy(F.desc("n_symbols"), "path").limit(k)

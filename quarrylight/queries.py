@@ -780,6 +780,14 @@ def most_connected(spark, sf_dir):
     return extensions.most_connected(graph.distinct_edges(raw_edges(spark, sf_dir)), 25)
 
 
+@query("""
+SELECT p_name || '#' || p_partkey AS path, count(*) AS n_symbols, round(count(*) / (SELECT count(*)::DOUBLE FROM lineitem), 4) AS share
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n_symbols DESC, path LIMIT 20""")
+def files_with_most_symbols(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("path"))
+    return extensions.files_with_most_symbols(table(spark, sf_dir, "lineitem"), parts, 20, key="l_partkey", file_key="p_partkey")
+
+
 @query(f"WITH {_EDGES} SELECT t AS node_id, CASE WHEN count(*) >= 6 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM e WHERE relation = 'calls' GROUP BY t")
 def risk_levels(spark, sf_dir):
     callers = graph.distinct_edges(raw_edges(spark, sf_dir)).where("relation = 'calls'").groupBy(F.col("target_node_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))

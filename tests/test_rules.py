@@ -74,7 +74,7 @@ for _artifact, _path in (("files", "path"), ("chunks", "file_path"), ("embedding
 
 def frame(spark, artifact, rows):
     kinds = {k: "array<double>" if k == "vector" else TYPES[type(v)] for k, v in GOOD[artifact].items()}
-    full = [{**GOOD[artifact], **r, "at": i} for i, r in enumerate(rows)]
+    full = [{**GOOD[artifact], "at": i, **r} for i, r in enumerate(rows)]
     return spark.createDataFrame([tuple(r[k] for k in (*kinds, "at")) for r in full], ", ".join(f"{k} {v}" for k, v in (*kinds.items(), ("at", "long"))))
 
 
@@ -93,21 +93,28 @@ def good(spark):
         spark.conf.set(k, v)
 
 
+#: Columns that must not repeat from one case to the next.
+OWN = {"files": ["path"], "parsed": ["path"], "symbols": ["symbol_id"], "routes": ["route_id"], "chunks": ["id"], "embeddings": ["chunk_id"], "nodes": ["node_id", "id"], "edges": ["id", "source_location"]}
+
+
 @pytest.mark.parametrize("artifact", GOOD)
 def test_rules(spark, good, artifact):
-    """All cases of an artifact at once: each lies in files of its own, so that only its own rule is broken."""
+    """All cases of an artifact in one frame, with places of their own: each breaks its own rule only."""
     assert rules.violations(artifact, good, "at").collect() == []
-    for (of, name), rows in BAD.items():
-        if of == artifact:
-            extra = {"unknown_chunk"} if name == "bad_number" else {"unknown_file"} if artifact == "chunks" and "path" in name else set()
-            found = rules.violations(artifact, good | {artifact: frame(spark, artifact, rows)}, "at").collect()
-            assert {r.rule for r in found} - extra == {name}, (name, found)
-            if "repeated" in name:
-                assert [r.place for r in found] == [len(rows) - 1]
-            if name in ("absolute_path", "path_leaves_root"):
-                assert all(r.file_path is None for r in found)
-            if name == "backslash_in_path":
-                assert {r.file_path for r in found} == {"x/a.py"}
+    cases = [(name, rows) for (of, name), rows in BAD.items() if of == artifact]
+    rows = [{**{c: f"{GOOD[artifact][c]}-{k}" for c in OWN[artifact]}, **r, "at": 100 * k + i} for k, (_, case) in enumerate(cases) for i, r in enumerate(case)]
+    known = {"files": frame(spark, "files", [{}, *({"path": f"a.py-{k}"} for k in range(len(cases)))]), "chunks": frame(spark, "chunks", [{"id": f"c-{k}"} for k in range(len(cases))])}
+    found = rules.violations(artifact, good | known | {artifact: frame(spark, artifact, rows)}, "at").collect()
+    for k, (name, case) in enumerate(cases):
+        mine = [r for r in found if r.place // 100 == k]
+        extra = {"unknown_chunk"} if name == "bad_number" else {"unknown_file"} if artifact == "chunks" and "path" in name else set()
+        assert {r.rule for r in mine} - extra == {name}, (name, mine)
+        if "repeated" in name:
+            assert [r.place for r in mine] == [100 * k + len(case) - 1]
+        if name in ("absolute_path", "path_leaves_root"):
+            assert all(r.file_path is None for r in mine)
+        if name == "backslash_in_path":
+            assert {r.file_path for r in mine} == {"x/a.py"}
 
 
 def test_the_first_violation_leads(spark, good):
