@@ -133,9 +133,15 @@ def match(index: Index, query: str) -> DataFrame:
     return matching.select("number", rank.alias("rank"))
 
 
-def search(index: Index, query: str, limit: int) -> DataFrame:
-    """The best rows, as key (under the index's name of it) and rank: by rank, then key, as numbers are in order of keys."""
-    best = match(index, query).orderBy("rank", "number").limit(limit)
+def search(index: Index, query: str, limit: int, *, decimals: int | None = None) -> DataFrame:
+    """The best rows, as key (under the index's name of it) and rank: by rank, then key, as numbers are in order of keys.
+
+    With `decimals`, ranks are rounded before they are ordered, so that those equal to so many places are ordered by key.
+    """
+    found = match(index, query)
+    if decimals is not None:
+        found = found.withColumn("rank", F.round("rank", decimals))
+    best = found.orderBy("rank", "number").limit(limit)
     return index.table("documents").select("number", F.col("key").alias(index.key)).join(F.broadcast(best), "number").orderBy("rank", "number").select(index.key, "rank")  # `limit` rows
 
 

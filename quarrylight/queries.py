@@ -433,7 +433,7 @@ for _name, (_q, *_rest) in INDEXED.items():
 
 @query(f"SELECT doc_id, rank FROM ({_bm25_sql(*INDEXED['index_and'][1:])}) ORDER BY rank, doc_id LIMIT 20")
 def index_top(spark, sf_dir):
-    return inverted.search(_document_index(spark, sf_dir), "the anea", 20).select("doc_id", F.round("rank", 6).alias("rank"))
+    return inverted.search(_document_index(spark, sf_dir), "the anea", 20, decimals=6).select("doc_id", "rank")
 
 
 @query(f"SELECT doc_id, round(1 / (1 + abs(rank)), 5) AS text_score FROM ({_bm25_sql(*INDEXED['index_and'][1:])})")
