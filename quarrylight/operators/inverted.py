@@ -3,8 +3,8 @@
 Tables of an index, all Parquet below one folder:
 
 - documents: number (dense, in order of the key), key, doc_len and the words of each column
-- postings: one row for a term, a column and a block of BLOCK numbers: the documents as offsets from the block's first number,
-  with doc_len and the positions in each. A term that all documents hold is many rows, so no row grows with the corpus.
+- postings: a row, or a few, for a term, a column and a block of BLOCK numbers: the documents as offsets from the block's first number,
+  with doc_len and the positions in each. Tasks make them of runs of consecutive numbers, and they are shuffled once. A term that all documents hold is many rows, so no row grows with the corpus.
   Rows lie in folders by hash of the term and are sorted in them, so that a search reads its terms' buckets and row groups.
 - terms: the dictionary, sorted by term: documents and occurrences in each column, and the bucket; prefixes are ranges of it
 - stats: number of documents and sum of their lengths
@@ -16,14 +16,19 @@ meet at the phrase's start.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators import fulltext
 
-#: Numbers of documents in a posting row.
-BLOCK = 8192
+#: Numbers of documents that a posting row may hold, blocks of a bucket that are sorted by one task, words that a task turns into
+#: postings at once, and posting rows in an Arrow batch.
+BLOCK, SLOT, CHUNK, ROWS = 8192, 16, 1 << 22, 1 << 15
+_POSTINGS = "term string, column int, block bigint, offsets array<int>, doc_lens array<int>, cuts array<int>, at array<int>"
 
 
 @dataclass(frozen=True)
@@ -45,9 +50,11 @@ def build(docs: DataFrame, columns: tuple[str, ...], folder: str, *, key: str =
     buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = Index(spark, folder, tuple(columns), key)
 
-    # A row's number is its range's first number plus its place in the sorted range; both are written down before they are used.
-    words = fulltext.indexed(docs.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))), tuple(f"c{i}" for i in range(len(columns))))
-    ranged = words.drop(*(f"c{i}" for i in range(len(columns)))).repartitionByRange("key").sortWithinPartitions("key")
+    # A row's number is its range's first number plus its place in the sorted range; both are written down before they are used. Texts
+    # are moved whole and cut into words where they land: arrays of words are several times as large.
+    named = docs.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    words = fulltext.indexed(named.repartitionByRange("key").sortWithinPartitions("key"), tuple(f"c{i}" for i in range(len(columns))))
+    ranged = words.drop(*(f"c{i}" for i in range(len(columns))))
     ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(f"{folder}/work")
     ranged = out.table("work")
     sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row for each task of the range
@@ -59,15 +66,14 @@ def build(docs: DataFrame, columns: tuple[str, ...], folder: str, *, key: str =
 
     lengths = [F.size(f"words_c{i}").alias(f"words_{i}") for i in range(len(columns))]
     numbered.select("number", "key", "doc_len", *lengths).write.parquet(f"{folder}/documents")
-    each = [numbered.select("number", "doc_len", F.lit(i).alias("column"), F.posexplode(f"words_c{i}").alias("at", "term")) for i in range(len(columns))]
-    met = each[0]
-    for df in each[1:]:
-        met = met.unionByName(df)
-    met = met.select("term", "column", F.floor(F.col("number") / BLOCK).cast("long").alias("block"), (F.col("number") % BLOCK).cast("int").alias("offset"), "doc_len", "at")
-    of_document = met.groupBy("term", "column", "block", "offset", "doc_len").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    rows = of_document.groupBy("term", "column", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_len", "at"))).alias("entries"))  # BLOCK documents at most
+    rows = numbered.select("number", "doc_len", *(f"words_c{i}" for i in range(len(columns)))).mapInArrow(_lists(BLOCK), _POSTINGS)
     rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartitionByRange("bucket", "term", "column", "block").sortWithinPartitions("bucket", "term", "column", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # The one shuffle of postings: a bucket goes to one task for each SLOT blocks, so that a term of all documents goes to many.
+    # Flat arrays move, a few bytes for an entry; its positions are at[cuts[i]:cuts[i + 1]].
+    dealt = rows.repartition("bucket", F.floor(F.col("block") / SLOT)).sortWithinPartitions("bucket", "term", "column", "block")
+    entry = lambda o, i: F.struct(o.alias("offset"), F.get("doc_lens", i).alias("doc_len"), F.slice("at", F.get("cuts", i) + 1, F.get("cuts", i + 1) - F.get("cuts", i)).alias("at"))
+    rows = dealt.select("term", "column", "block", F.transform("offsets", entry).alias("entries"), "bucket")
+    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
 
     if not first:  # no rows, no files with a schema
         rows.limit(0).write.mode("overwrite").parquet(f"{folder}/postings")
@@ -78,6 +84,57 @@ def build(docs: DataFrame, columns: tuple[str, ...], folder: str, *, key: str =
     return out
 
 
+def _lists(size: int):
+    """Postings of runs of documents with consecutive numbers, of CHUNK words or little more each, in blocks of `size`."""
+
+    def run(batches):
+        held, n, after = [], 0, None
+        for batch in batches:
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(number) != 1) + 1).tolist(), len(number)] if len(number) else []
+            for a, b in pairwise(cuts):
+                if held and (n >= CHUNK or number[a] != after):
+                    yield from _rows(held, size)
+                    held, n = [], 0
+                held.append(batch.slice(a, b - a))
+                n += sum(len(c.flatten()) for c in held[-1].columns[2:])
+                after = number[b - 1] + 1
+        if held:
+            yield from _rows(held, size)
+
+    return run
+
+
+def _rows(held: list[pa.RecordBatch], size: int):
+    """The postings of some documents, those of a term in one block as one row."""
+    whole = pa.Table.from_batches(held)
+    number, doc_len = (whole.column(k).to_numpy() for k in (0, 1))
+    block = number // size
+    for column in range(whole.num_columns - 2):
+        lists = whole.column(column + 2).combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        words, sizes = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy()
+        if not len(words):
+            continue
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # documents and places stay in order
+        doc = np.repeat(np.arange(len(sizes)), sizes)[order]
+        at = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        code = code[order]
+        entry = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
+        code, doc = code[entry], doc[entry]
+        row = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[doc[1:]] != block[doc[:-1]])]))
+        starts = np.append(row, len(entry))
+        cuts = np.insert(np.append(entry, len(at)), starts[1:-1], entry[row[1:]])  # each row's own, its end included
+        lists = [_parted(number[doc] % size, starts), _parted(doc_len[doc], starts), _parted(cuts - np.repeat(entry[row], np.diff(starts) + 1), starts + np.arange(len(starts))), _parted(at, np.append(entry[row], len(at)))]
+        made = pa.record_batch([words.dictionary.take(pa.array(code[row])), pa.array(np.full(len(row), column), pa.int32()), pa.array(block[doc[row]], pa.int64()), *lists], ["term", "column", "block", "offsets", "doc_lens", "cuts", "at"])
+        yield from (made.slice(k, ROWS) for k in range(0, made.num_rows, ROWS))
+
+
+def _parted(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+
+
 def _bucket(term: Column, buckets: int | Column) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets) if isinstance(buckets, int) else buckets)
 
@@ -100,12 +157,16 @@ def _counts(index: Index, buckets: int, phrase: fulltext.Phrase) -> DataFrame:
     n = len(phrase.words)
     if n == 1:
         return _of_word(index, buckets, phrase.words[0], phrase.prefix, columns).select("number", "doc_len", F.size("at").alias("tf"))
-    parts = [_of_word(index, buckets, w, phrase.prefix and k == n - 1, columns).select("number", "doc_len", "column", F.explode("at").alias("at")).withColumn("start", F.col("at") - k) for k, w in enumerate(phrase.words)]
+    parts = [_of_word(index, buckets, w, phrase.prefix and k == n - 1, columns).select("number", "doc_len", "column", F.lit(k).alias("k"), F.transform("at", lambda x: x - k).alias("starts")) for k, w in enumerate(phrase.words)]
     met = parts[0]
     for df in parts[1:]:
         met = met.unionByName(df)
-    whole = met.groupBy("number", "doc_len", "column", "start").agg(F.count(F.lit(1)).alias("words")).where(F.col("words") == n)
-    return whole.select("number", "doc_len", F.lit(1).alias("tf"))
+    # Positions move as arrays, a row for a word and a document.
+    each = met.groupBy("number", "doc_len", "column").agg(*(F.flatten(F.collect_list(F.when(F.col("k") == k, F.col("starts")))).alias(f"s{k}") for k in range(n)))
+    starts = F.col("s0")
+    for k in range(1, n):
+        starts = F.array_intersect(starts, f"s{k}")
+    return each.select("number", "doc_len", F.size(starts).alias("tf")).where("tf > 0")
 
 
 def match(index: Index, query: str) -> DataFrame:
