@@ -1,6 +1,6 @@
 """Reachability over several hops, with the way there: a frontier loop over DataFrames.
 
-Each hop joins the frontier with the links, keeps one predecessor for each new node (the least), takes out what was visited, and is written
+The links are written to the shared folder once and read by each hop. A hop joins the frontier with them, keeps one predecessor for each new node (the least), takes out what was visited, and is written
 to the shared folder, so that a lost executor costs one hop at most. A hub's links are split by adaptive execution's skew
 join; what a hop brings is aggregated before it is shuffled, so a node that many others point to is one row a task.
 """
@@ -14,6 +14,8 @@ from quarrylight.functions import shared, text
 from quarrylight.operators import lookup
 
 MAX_HOPS = 3
+#: Rows of a frontier that may go to all tasks, so that the links stay where they are.
+SMALL = 100_000
 
 
 def links(edges: DataFrame, direction: str = "outgoing", relations: list[str] | None = None) -> DataFrame:
@@ -36,13 +38,17 @@ def reach(steps: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     `steps` as links gives them; `starts` has node_id. Starts come with 0 hops. Of several ways of equal length the one through the least
     previous node counts, hop by hop.
     """
-    shared.folder(steps.sparkSession)
+    spark = steps.sparkSession
+    stored = shared.new_path(spark, "links")
+    steps.write.parquet(stored)  # made once: every hop reads them
+    steps = spark.read.schema(steps.schema).parquet(stored)
     none = F.lit(None).cast("string")
     front = starts.select(F.col("node_id").alias("start"), "node_id").distinct()
     front = front.select("start", "node_id", F.lit(0).alias("hops"), none.alias("previous"), none.alias("relation"), none.alias("confidence"), F.array("node_id").alias("path")).checkpoint()
     visited = front
     for hop in range(1, max_hops + 1):
-        met = front.select("start", F.col("node_id").alias("a"), "path").join(steps, "a")
+        near = front.select("start", F.col("node_id").alias("a"), "path")
+        met = steps.join(F.broadcast(near) if front.count() <= SMALL else near, "a")  # SMALL rows
         new = met.groupBy("start", F.col("b").alias("node_id")).agg(F.min(F.struct(F.col("a").alias("previous"), "relation", "confidence", "path")).alias("x"))
         new = new.join(visited.select("start", "node_id"), ["start", "node_id"], "left_anti")
         front = new.select("start", "node_id", F.lit(hop).alias("hops"), "x.previous", "x.relation", "x.confidence", F.concat("x.path", F.array("node_id")).alias("path")).checkpoint()

@@ -643,7 +643,7 @@ SELECT p.node_id, CAST(p.hops AS INTEGER) AS hops, p.previous, w.path FROM p JOI
 
 
 def _reach(spark, sf_dir, direction: str, start: str) -> DataFrame:
-    edges = graph.distinct_edges(raw_edges(spark, sf_dir))
+    edges = raw_edges(spark, sf_dir)  # links tells repetitions apart itself
     found = paths.reach(paths.links(edges, direction), spark.createDataFrame([(start,)], "node_id string"), 3)
     return found.select("node_id", "hops", "previous", F.array_join("path", ">").alias("path"))
 
