@@ -7,11 +7,15 @@ row carries its place in the order of extraction (seq), on which "the first" of
 from __future__ import annotations
 
 import ast
-from collections import deque
+import gc
+from collections.abc import Callable
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarrylight import schemas
@@ -43,49 +47,95 @@ def call_name(node: ast.AST) -> str | None:
     return None
 
 
-def symbols_of(tree: ast.AST, path: str) -> list[dict]:
-    """Classes, functions, methods and module-like variables, parents before what they hold."""
-    out: list[dict] = []
-    work: deque[tuple[ast.AST, tuple[str, ...]]] = deque([(tree, ())])
+_SYMBOL = ("seq", "symbol_type", "name", "qualified_name", "signature", "docstring", "start_line", "end_line", "parent", "symbol_id", "confidence", "calls", "bases")
+_BLOCKS = ("body", "orelse", "handlers", "finalbody", "cases")
+#: Nodes below which nothing is called or defined.
+_LEAVES = frozenset({ast.Constant, ast.Name, ast.Load, ast.Store, ast.Del, ast.Pass, ast.arg})
+
+
+_BLOCKS_OF: dict[type, tuple[str, ...]] = {}
 
-    def add(kind: str, name: str, node, classes: tuple[str, ...], **more) -> None:
-        row = dict.fromkeys(("signature", "docstring", "parent", "calls", "bases")) | {"confidence": "EXTRACTED"} | more
-        out.append(row | {"seq": len(out), "symbol_type": kind, "name": name, "qualified_name": ".".join((*classes, name)), "start_line": node.lineno, "end_line": node.end_lineno or node.lineno, "symbol_id": f"{kind}:{path}:{name}:{node.lineno}", "parent": classes[-1] if classes else None})
 
+def inner(node: ast.AST) -> list[ast.AST]:
+    """The statements (and parts of statements) that a node holds, in order; expressions hold none."""
+    kind = type(node)
+    if (blocks := _BLOCKS_OF.get(kind)) is None:
+        blocks = _BLOCKS_OF[kind] = tuple(f for f in kind._fields if f in _BLOCKS)
+    return [x for f in blocks if type(held := getattr(node, f)) is list for x in held]
+
+
+def statements(tree: ast.AST) -> list[ast.AST]:
+    """All statements in the order of ast.walk."""
+    out, level = [], [tree]
+    while level:
+        out += level
+        level = [x for node in level for x in inner(node)]
+    return out
+
+
+def calls_in(node: ast.AST) -> list[str]:
+    """Names that are called anywhere below a node, the first of each, in the order of ast.walk."""
+    names: dict[str, None] = {}
+    level = [node]
+    while level:
+        below = []
+        for n in level:
+            if type(n) is ast.Call and (name := call_name(n)):
+                names[name] = None
+            for f in n._fields:
+                held = getattr(n, f, None)
+                for x in held if type(held) is list else (held,):
+                    if isinstance(x, ast.AST) and (type(x) not in _LEAVES or type(x) is ast.arg and x.annotation is not None):
+                        below.append(x)
+        level = below
+    return list(names)
+
+
+def _docstring(node: ast.AST) -> str | None:
+    return ast.get_docstring(node) if node.body and type(node.body[0]) is ast.Expr else None
+
+
+def symbols_of(tree: ast.AST, path: str) -> list[list]:
+    """Classes, functions, methods and module-like variables, parents before what they hold; fields as _SYMBOL."""
+    out: list[list] = []
+    work: list[tuple[ast.AST, tuple[str, ...]]] = [(tree, ())]
     while work:
-        node, classes = work.popleft()
-        inside = classes
-        if isinstance(node, ast.ClassDef):
+        node, classes = work.pop()
+        inside, kind = classes, type(node)
+        if kind is ast.ClassDef:
             bases = [b.id for b in node.bases if isinstance(b, ast.Name)]
-            add("class", node.name, node, classes, docstring=ast.get_docstring(node), bases=bases or None)
-            inside = (*classes, node.name)
-        elif isinstance(node, _FUNCTIONS):
-            calls = list(dict.fromkeys(filter(None, map(call_name, ast.walk(node)))))
-            add("method" if classes else "function", node.name, node, classes, docstring=ast.get_docstring(node), signature=signature(node), calls=calls or None)
-        elif isinstance(node, ast.Assign):
+            name, found = node.name, ("class", None, _docstring(node), None, bases or None)
+            inside = (*classes, name)
+        elif kind in _FUNCTIONS:
+            name, found = node.name, ("method" if classes else "function", signature(node), _docstring(node), calls_in(node) or None, None)
+        elif kind is ast.Assign:
             if not classes:
-                for target in node.targets:
-                    if isinstance(target, ast.Name):
-                        add("variable", target.id, node, (), confidence="INFERRED")
+                line, end = node.lineno, node.end_lineno or node.lineno
+                out += [[len(out) + i, "variable", n, n, None, None, line, end, None, f"variable:{path}:{n}:{line}", "INFERRED", None, None] for i, n in enumerate(t.id for t in node.targets if isinstance(t, ast.Name))]
+            continue
+        else:
+            work += [(x, classes) for x in reversed(inner(node))]
             continue
-        work.extendleft((child, inside) for child in reversed(list(ast.iter_child_nodes(node))))
+        line = node.lineno
+        out.append([len(out), found[0], name, ".".join((*classes, name)), found[1], found[2], line, node.end_lineno or line, classes[-1] if classes else None, f"{found[0]}:{path}:{name}:{line}", "EXTRACTED", found[3], found[4]])
+        work += [(x, inside) for x in reversed(node.body)]
     return out
 
 
-def imports_of(tree: ast.AST) -> list[dict]:
+def imports_of(nodes: list[ast.AST]) -> list[dict]:
     """One row for each imported name; the module is empty for `from . import x`."""
     out: list[dict] = []
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             relative = isinstance(node, ast.ImportFrom) and node.level > 0
             out += [{"module_name": a.name if isinstance(node, ast.Import) else node.module or "", "imported_name": a.asname or a.name, "alias": a.asname, "line_number": node.lineno, "is_relative": relative} for a in node.names]
     return [{"seq": i} | row for i, row in enumerate(out)]
 
 
-def routes_of(tree: ast.AST, path: str) -> list[dict]:
+def routes_of(nodes: list[ast.AST], path: str) -> list[dict]:
     """One row for each decorator like app.get("/literal")."""
     out: list[dict] = []
-    for node in ast.walk(tree):
+    for node in nodes:
         if not isinstance(node, _FUNCTIONS):
             continue
         for deco in node.decorator_list:
@@ -96,45 +146,91 @@ def routes_of(tree: ast.AST, path: str) -> list[dict]:
     return out
 
 
-def parse_text(path: str, source: str | None, is_binary: bool) -> dict:
-    """A row as schemas.PARSED. Syntax errors give a status and a message of 500 characters at most."""
-    row = {"path": path, "status": "not_applicable", "error": None, "symbols": [], "imports": [], "routes": []}
+def _read(path: str, source: str | None, is_binary: bool) -> tuple[str, str, str | None, list[list], list[dict], list[dict]]:
+    """The fields of schemas.PARSED, symbols as lists. Syntax errors give a status and a message of 500 characters at most."""
     if is_binary or not (source or "").strip():
-        return row
+        return path, "not_applicable", None, [], [], []
     try:
         tree = ast.parse(source)
     except SyntaxError as e:
-        return row | {"status": "error", "error": str(e.msg)[:500]}
+        return path, "error", str(e.msg)[:500], [], [], []
     except (ValueError, RecursionError, MemoryError) as e:  # null bytes, or nesting too deep
-        return row | {"status": "error", "error": str(e)[:500] or type(e).__name__}
-    symbols, routes = symbols_of(tree, path), routes_of(tree, path)
+        return path, "error", str(e)[:500] or type(e).__name__, [], [], []
+    nodes = statements(tree)
+    symbols, routes = symbols_of(tree, path), routes_of(nodes, path)
     for r in routes:
-        given = {"symbol_type": "route", "name": f"{r['method']} {r['route_path']}", "qualified_name": r["handler_function"], "signature": r.pop("signature"), "docstring": r.pop("docstring"), "start_line": r["start_line"], "end_line": r["end_line"], "parent": None, "symbol_id": r["route_id"], "confidence": "EXTRACTED", "calls": None, "bases": None}
-        symbols.append(given | {"seq": len(symbols)})
+        symbols.append([len(symbols), "route", f"{r['method']} {r['route_path']}", r["handler_function"], r.pop("signature"), r.pop("docstring"), r["start_line"], r["end_line"], None, r["route_id"], "EXTRACTED", None, None])
     seen: dict[str, int] = {}
     for s in symbols:  # two definitions on one line get different ids
-        n = seen[s["symbol_id"]] = seen.get(s["symbol_id"], 0) + 1
+        n = seen[s[9]] = seen.get(s[9], 0) + 1
         if n > 1:
-            s["symbol_id"] += f"#{n}"
-    return row | {"status": "parsed", "symbols": symbols, "imports": imports_of(tree), "routes": routes}
+            s[9] += f"#{n}"
+    return path, "parsed", None, symbols, imports_of(nodes), routes
+
+
+def parse_text(path: str, source: str | None, is_binary: bool) -> dict:
+    """A row as schemas.PARSED."""
+    row = dict(zip(("path", "status", "error", "symbols", "imports", "routes"), _read(path, source, is_binary), strict=True))
+    return row | {"symbols": [dict(zip(_SYMBOL, s, strict=True)) for s in row["symbols"]]}
+
+
+def _column(files: list[list], kind: pa.ListType, rows: Callable) -> pa.ListArray:
+    """Lists of structs, built field by field."""
+    fields = list(zip(*(rows(r) for file in files for r in file), strict=True)) or [()] * kind.value_type.num_fields
+    held = pa.StructArray.from_arrays([pa.array(values, f.type) for values, f in zip(fields, kind.value_type, strict=True)], fields=list(kind.value_type))
+    starts = pa.array([0, *accumulate(map(len, files))], pa.int32())
+    return pa.ListArray.from_arrays(starts, held).cast(kind)
 
 
 def _parse(batches):
     kind = to_arrow_schema(schemas.PARSED)
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            some = batch.slice(at, ROWS)
-            rows = [parse_text(*x) for x in zip(*(c.to_pylist() for c in some.columns), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, kind)
+    names = {c: [f.name for f in kind.field(c).type.value_type] for c in ("imports", "routes")}
+    gc.disable()  # syntax trees hold no cycles, and there are very many nodes
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                columns = list(zip(*(_read(*x) for x in zip(*(c.to_pylist() for c in some.columns), strict=True)), strict=True))
+                plain = [pa.array(c, kind.field(i).type) for i, c in enumerate(columns[:3])]
+                lists = [_column(c, kind.field(name).type, list if name == "symbols" else itemgetter(*names[name])) for name, c in zip(("symbols", "imports", "routes"), columns[3:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*plain, *lists], schema=kind)
+    finally:
+        gc.enable()
+
+
+def _parse_symbols(batches):
+    kind = to_arrow_schema(_FLAT)
+    gc.disable()
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                paths, found = some.column(0), [_read(*x)[3] for x in zip(*(c.to_pylist() for c in some.columns), strict=True)]
+                fields = list(zip(*chain.from_iterable(found), strict=True))
+                if fields:
+                    path = paths.take(pa.array([i for i, file in enumerate(found) for _ in file]))
+                    yield pa.RecordBatch.from_arrays([path, *(pa.array(values, f.type) for values, f in zip(fields, list(kind)[1:], strict=True))], schema=kind)
+    finally:
+        gc.enable()
+
+
+def _dealt(scanned: DataFrame) -> DataFrame:
+    """Files that wait, dealt out: parsing costs far more than reading, and few large inputs would leave it to few tasks."""
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scanned.where("parse_status = 'pending'").select("path", "text", "is_binary").repartition(parts)
 
 
 def parse(scanned: DataFrame) -> DataFrame:
-    """schemas.PARSED for each scanned file that waits for it.
+    """schemas.PARSED for each scanned file that waits for it."""
+    return _dealt(scanned).mapInArrow(_parse, schemas.PARSED)
 
-    Files are dealt out first: parsing costs far more than reading, and few large inputs would leave it to few tasks.
-    """
-    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return scanned.where("parse_status = 'pending'").select("path", "text", "is_binary").repartition(parts).mapInArrow(_parse, schemas.PARSED)
+
+_FLAT = T.StructType([T.StructField("path", T.StringType()), *schemas.PARSED["symbols"].dataType.elementType.fields])
+
+
+def parse_symbols(scanned: DataFrame) -> DataFrame:
+    """The rows of symbols(parse(scanned)) for those who need nothing else: they leave the parser flat, which costs less than lists."""
+    return _dealt(scanned).mapInArrow(_parse_symbols, _FLAT)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:

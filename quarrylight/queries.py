@@ -814,7 +814,9 @@ def _sources(spark, sf_dir) -> DataFrame:
     nr, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")))
-    words = F.when(F.size(words) == 0, F.array(F.lit("empty"))).otherwise(words)
+    # Out of a generator, so that a text is not split anew for each of its lines.
+    docs = doc_files(spark, sf_dir).select("doc_id", "path", F.inline(F.array(F.struct(lines.alias("lines"), words.alias("words")))))
+    lines, words = F.col("lines"), F.when(F.size("words") == 0, F.array(F.lit("empty"))).otherwise(F.col("words"))
 
     def block(line: Column, i: Column) -> Column:
         said = F.regexp_replace(line, r"[^\p{L}\p{N} ]+", " ")
@@ -826,7 +828,7 @@ def _sources(spark, sf_dir) -> DataFrame:
 
     tail = F.concat(F.lit('@app.get("/doc/'), nr, F.lit('")\ndef show_'), nr, F.lit("():\n    return line_"), nr, F.lit('_0("")\n\ndef test_line_'), nr, F.lit("_0():\n    assert line_"), nr, F.lit('_0("")\n'))
     body = F.concat(F.lit("import os\n\n"), F.array_join(F.transform(lines, block), "\n"), F.lit("\n"), tail, F.array_join(F.transform(words, named), "\n"), F.lit("\n"))
-    return doc_files(spark, sf_dir).select(F.regexp_replace("path", "md$", "py").alias("path"), body.alias("text"), F.lit(False).alias("is_binary"), F.lit("pending").alias("parse_status"), F.lit("source").alias("file_type"))
+    return docs.select(F.regexp_replace("path", "md$", "py").alias("path"), body.alias("text"), F.lit(False).alias("is_binary"), F.lit("pending").alias("parse_status"), F.lit("source").alias("file_type"))
 
 
 _MODULES = """WITH w AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> ''))) AS found FROM documents),
@@ -848,7 +850,7 @@ SELECT path, symbol_type, name, qualified_name, signature, CAST(start_line AS IN
   CASE WHEN symbol_type = 'route' THEN 'route:GET:' || substr(name, 5) || ':' || path || ':' || start_line ELSE symbol_type || ':' || path || ':' || name || ':' || start_line END AS symbol_id
 FROM s""")
 def parse_python_symbols(spark, sf_dir):
-    return parse.symbols(parse.parse(_sources(spark, sf_dir))).select("path", "symbol_type", "name", "qualified_name", "signature", "start_line", "end_line", "symbol_id")
+    return parse.parse_symbols(_sources(spark, sf_dir)).select("path", "symbol_type", "name", "qualified_name", "signature", "start_line", "end_line", "symbol_id")
 
 
 @query(f"""
