@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight import schemas
 from quarrylight.functions import ids, secrets, shared, text, vectors
 from quarrylight.operators import ann, bands, chunk, embed, extensions, fulltext, graph, inverted, lookup, parse, paths, rules, search, validate
 from quarrylight.sources import inputs, scan
@@ -860,5 +861,8 @@ def parse_python_symbols(spark, sf_dir):
 SELECT relation, CAST(n AS BIGINT) AS n FROM e WHERE n > 0""")
 def graph_of_sources(spark, sf_dir):
     files = _sources(spark, sf_dir)
-    parsed = parse.parse(files).cache()  # feeds many joins; the session's cache holds it, as in a build
+    # It feeds many joins. A cached table would carry the plan that makes the sources into each of them, and every stage sends the driver the plan anew.
+    path = shared.new_path(spark, "parsed")
+    parse.parse(files).write.parquet(path)
+    parsed = spark.read.schema(schemas.PARSED).parquet(path)
     return graph.build(files, parsed)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
