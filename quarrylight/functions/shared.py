@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,3 +23,9 @@ def folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, what: str) -> str:
     """A path of its own there; whoever writes to it removes it (sources.hadoop.Files.delete)."""
     return f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of what is no longer referenced, which it else does when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -183,6 +183,7 @@ def _column(files: list[list], kind: pa.ListType, rows: Callable) -> pa.ListArra
 
 
 def _parse(batches):
+    """Columns after path, text and is_binary stay as they are."""
     kind = to_arrow_schema(schemas.PARSED)
     names = {c: [f.name for f in kind.field(c).type.value_type] for c in ("imports", "routes")}
     gc.disable()  # syntax trees hold no cycles, and there are very many nodes
@@ -190,10 +191,10 @@ def _parse(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                columns = list(zip(*(_read(*x) for x in zip(*(c.to_pylist() for c in some.columns), strict=True)), strict=True))
+                columns = list(zip(*(_read(*x) for x in zip(*(c.to_pylist() for c in some.columns[:3]), strict=True)), strict=True))
                 plain = [pa.array(c, kind.field(i).type) for i, c in enumerate(columns[:3])]
                 lists = [_column(c, kind.field(name).type, list if name == "symbols" else itemgetter(*names[name])) for name, c in zip(("symbols", "imports", "routes"), columns[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*plain, *lists], schema=kind)
+                yield pa.RecordBatch.from_arrays([*plain, *lists, *some.columns[3:]], schema=pa.schema([*kind, *list(some.schema)[3:]]))
     finally:
         gc.enable()
 
@@ -214,23 +215,38 @@ def _parse_symbols(batches):
         gc.enable()
 
 
-def _dealt(scanned: DataFrame) -> DataFrame:
-    """Files that wait, dealt out: parsing costs far more than reading, and few large inputs would leave it to few tasks."""
-    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return scanned.where("parse_status = 'pending'").select("path", "text", "is_binary").repartition(parts)
+def _dealt(scanned: DataFrame, *more: str, dealt: bool = False) -> DataFrame:
+    """Files that wait, dealt out: parsing costs far more than reading, and few large inputs would leave it to few tasks. `dealt`: they are."""
+    waiting = scanned.where("parse_status = 'pending'").select("path", "text", "is_binary", *more)
+    return waiting if dealt else waiting.repartition(int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def parse(scanned: DataFrame) -> DataFrame:
-    """schemas.PARSED for each scanned file that waits for it."""
-    return _dealt(scanned).mapInArrow(_parse, schemas.PARSED)
+def parse(scanned: DataFrame, *more: str, dealt: bool = False) -> DataFrame:
+    """schemas.PARSED for each scanned file that waits for it, and `more` columns of the scan."""
+    files = _dealt(scanned, *more, dealt=dealt)
+    return files.mapInArrow(_parse, T.StructType([*schemas.PARSED.fields, *(files.schema[c] for c in more)]))
+
+
+#: What a file's lists hold.
+_LISTS = ("symbols", "imports", "routes")
+
+
+def items(parsed: DataFrame) -> DataFrame:
+    """A row for each symbol, import and route: a struct in the column of its list, null in the others; other columns of `parsed` stay.
+
+    Stored in this form, a reader never holds more than the rows of a batch, where lists of many files can be of any size.
+    """
+    kinds = {c: schemas.PARSED[c].dataType.elementType for c in _LISTS}
+    own = lambda c: F.transform(c, lambda x: F.struct(*((x if k == c else F.lit(None).cast(t)).alias(k) for k, t in kinds.items())))
+    return parsed.select(*(c for c in parsed.columns if c not in _LISTS), F.inline(F.concat(*map(own, _LISTS))))
 
 
 _FLAT = T.StructType([T.StructField("path", T.StringType()), *schemas.PARSED["symbols"].dataType.elementType.fields])
 
 
-def parse_symbols(scanned: DataFrame) -> DataFrame:
+def parse_symbols(scanned: DataFrame, *, dealt: bool = False) -> DataFrame:
     """The rows of symbols(parse(scanned)) for those who need nothing else: they leave the parser flat, which costs less than lists."""
-    return _dealt(scanned).mapInArrow(_parse_symbols, _FLAT)
+    return _dealt(scanned, dealt=dealt).mapInArrow(_parse_symbols, _FLAT)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight import schemas
 from quarrylight.functions import ids, secrets, shared, text, vectors
@@ -815,8 +816,9 @@ def _sources(spark, sf_dir) -> DataFrame:
     nr, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")))
-    # Out of a generator, so that a text is not split anew for each of its lines.
-    docs = doc_files(spark, sf_dir).select("doc_id", "path", F.inline(F.array(F.struct(lines.alias("lines"), words.alias("words")))))
+    # Documents are dealt out for the parser, since modules are larger; out of a generator, so that a text is not split anew for each of its lines.
+    docs = doc_files(spark, sf_dir).select("doc_id", "path", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select("doc_id", "path", F.inline(F.array(F.struct(lines.alias("lines"), words.alias("words")))))
     lines, words = F.col("lines"), F.when(F.size("words") == 0, F.array(F.lit("empty"))).otherwise(F.col("words"))
 
     def block(line: Column, i: Column) -> Column:
@@ -851,7 +853,7 @@ SELECT path, symbol_type, name, qualified_name, signature, CAST(start_line AS IN
   CASE WHEN symbol_type = 'route' THEN 'route:GET:' || substr(name, 5) || ':' || path || ':' || start_line ELSE symbol_type || ':' || path || ':' || name || ':' || start_line END AS symbol_id
 FROM s""")
 def parse_python_symbols(spark, sf_dir):
-    return parse.parse_symbols(_sources(spark, sf_dir)).select("path", "symbol_type", "name", "qualified_name", "signature", "start_line", "end_line", "symbol_id")
+    return parse.parse_symbols(_sources(spark, sf_dir), dealt=True).select("path", "symbol_type", "name", "qualified_name", "signature", "start_line", "end_line", "symbol_id")
 
 
 @query(f"""
@@ -860,9 +862,22 @@ def parse_python_symbols(spark, sf_dir):
   UNION ALL SELECT 'calls', sum(n + 2 + CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 1 ELSE 0 END) FROM m)
 SELECT relation, CAST(n AS BIGINT) AS n FROM e WHERE n > 0""")
 def graph_of_sources(spark, sf_dir):
-    files = _sources(spark, sf_dir)
-    # It feeds many joins. A cached table would carry the plan that makes the sources into each of them, and every stage sends the driver the plan anew.
-    path = shared.new_path(spark, "parsed")
-    parse.parse(files).write.parquet(path)
-    parsed = spark.read.schema(schemas.PARSED).parquet(path)
-    return graph.build(files, parsed)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    path, kind = shared.new_path(spark, "parsed"), F.coalesce("symbols.symbol_type", F.when(F.col("imports").isNotNull(), "import").otherwise("declared"))
+    schema = _store_items(spark, sf_dir, path, kind)
+    shared.sweep(spark)  # the shuffle of the documents
+    stored = spark.read.schema(schema).parquet(path)
+    symbols = stored.where("kind not in ('import', 'declared')").select("path", "file_type", F.col("kind").alias("symbol_type"), F.col("symbols").dropFields("symbol_type").alias("s")).select("path", "file_type", "symbol_type", "s.*")
+    imports, routes = stored.where("kind = 'import'").select("path", "imports.*"), stored.where("kind = 'declared'").select("path", "routes.*")
+    return graph.edges(routes.select("path"), symbols, imports, routes).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _store_items(spark, sf_dir, path: str, kind: Column) -> T.StructType:
+    """Writes the modules' items in folders by kind, without what the graph doesn't use: variables, which have no node, and fields of symbols.
+
+    They feed many joins. A cached table would carry the plan that makes the sources into each of them, and every stage sends the driver the plan
+    anew; lists by file would have to be unnested, and joined with the files' types, for each of them.
+    """
+    rows = parse.items(parse.parse(_sources(spark, sf_dir), "file_type", dealt=True).drop("status", "error"))
+    rows = rows.withColumn("kind", kind).where("kind <> 'variable'").withColumn("symbols", F.col("symbols").dropFields("qualified_name", "signature", "docstring", "end_line", "confidence"))
+    rows.write.partitionBy("kind").parquet(path, compression="zstd")
+    return rows.schema
